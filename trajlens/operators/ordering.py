@@ -29,8 +29,10 @@ _POSITION_BITS = 33  # layout of monotonically_increasing_id: partition above, r
 def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
     """A small DataFrame that lives in the plan itself, so reading it starts no tasks."""
     struct = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    if any(isinstance(f.dataType, T.TimestampType) for f in struct.fields):
+        return spark.createDataFrame(list(rows), struct)  # keeps Python's local-time rule
     columns = list(zip(*rows)) if rows else [[] for _ in struct.fields]
-    arrow_schema = to_arrow_schema(struct, timezone="UTC")
+    arrow_schema = to_arrow_schema(struct)
     arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow_schema)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow_schema), schema=struct)
 
