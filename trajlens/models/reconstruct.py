@@ -40,6 +40,24 @@ class Reconstructor(Protocol):
     def reconstruct(self, batch: np.ndarray) -> np.ndarray: ...
 
 
+def _describe(windows: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Window size, feature count and mean of the flattened windows, in one job.
+
+    Every task sends one partial vector.
+    """
+    rows = windows.select(
+        F.size("X").alias("size"),
+        F.size(F.get("X", F.lit(0))).alias("width"),
+        array_to_vector(F.flatten("X")).alias("cells"),
+    )
+    row = rows.agg(
+        F.max("size").alias("size"), F.max("width").alias("width"), Summarizer.mean(rows["cells"]).alias("mean")
+    ).first()
+    if not row["size"] or not row["width"]:
+        raise ValueError("the window table is empty")
+    return row["size"], row["width"], np.asarray(row["mean"].toArray())
+
+
 def _window_shape(windows: DataFrame) -> tuple[int, int]:
     row = windows.select(F.size("X").alias("size"), F.size(F.get("X", F.lit(0))).alias("width")).first()
     if row is None or row["size"] <= 0 or row["width"] <= 0:
@@ -47,13 +65,6 @@ def _window_shape(windows: DataFrame) -> tuple[int, int]:
     return row["size"], row["width"]
 
 
-def _mean_vector(windows: DataFrame, cells=None) -> np.ndarray:
-    """Mean of the flattened windows; one partial vector per task is shuffled."""
-    cells = F.flatten("X") if cells is None else cells
-    vectors = windows.select(array_to_vector(cells).alias("v"))
-    return np.asarray(vectors.select(Summarizer.mean(vectors["v"]).alias("m")).first()["m"].toArray())
-
-
 @dataclass(frozen=True)
 class MeanProfile:
     """Rebuilds every window by the training mean of each (position, feature)."""
@@ -63,7 +74,8 @@ class MeanProfile:
 
     @classmethod
     def fit(cls, windows: DataFrame) -> "MeanProfile":
-        return cls(_mean_vector(windows).reshape(_window_shape(windows)))
+        size, width, mean = _describe(windows)
+        return cls(mean.reshape(size, width))
 
     def reconstruct(self, batch: np.ndarray) -> np.ndarray:
         return np.broadcast_to(self.mean, batch.shape)
@@ -86,10 +98,10 @@ class PcaWindow:
 
     @classmethod
     def fit(cls, windows: DataFrame, k: int = 8) -> "PcaWindow":
-        size, width = _window_shape(windows)
+        size, width, mean = _describe(windows)
         vectors = windows.select(array_to_vector(F.flatten("X")).alias("v"))
         found = PCA(k=min(k, size * width), inputCol="v", outputCol="p").fit(vectors)
-        return cls(_mean_vector(windows), found.pc.toArray())
+        return cls(mean, found.pc.toArray())
 
     def reconstruct(self, batch: np.ndarray) -> np.ndarray:
         centred = batch.reshape(len(batch), -1) - self.mean
@@ -122,11 +134,10 @@ class PcaLocal:
                 F.coalesce(F.get("X", i - 1), zeros), F.get("X", i), F.coalesce(F.get("X", i + 1), zeros)
             ),
         )
-        steps = windows.select(F.explode(around).alias("around"))
-        found = PCA(k=min(k, 3 * width), inputCol="v", outputCol="p").fit(
-            steps.select(array_to_vector("around").alias("v"))
-        )
-        return cls(_mean_vector(steps, F.col("around")), found.pc.toArray())
+        steps = windows.select(F.explode(around).alias("around")).select(array_to_vector("around").alias("v"))
+        found = PCA(k=min(k, 3 * width), inputCol="v", outputCol="p").fit(steps)
+        mean = steps.select(Summarizer.mean(steps["v"]).alias("m")).first()["m"].toArray()
+        return cls(np.asarray(mean), found.pc.toArray())
 
     def reconstruct(self, batch: np.ndarray) -> np.ndarray:
         n, size, width = batch.shape

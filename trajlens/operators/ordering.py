@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 # Largest group that one task may sort or hold.
-MAX_GROUP_ROWS = 2_000_000
+MAX_GROUP_ROWS = 1_000_000
 # Largest table that is collected in order to be broadcast.
 MAX_BROADCAST_ROWS = 100_000
 

@@ -143,6 +143,10 @@ def _fill_values(df, columns, strategy, relative_error, moments, max_group_rows)
     if not columns:
         return {}
     if strategy == "median":
+        if moments is not None and max_group_rows is not None:
+            # The first pass counted the values, so they need not be counted again.
+            largest = max(r["n_values"] for r in moments)
+            max_group_rows = max_group_rows if largest > max_group_rows else None
         found = medians(df, columns, relative_error, max_group_rows)
     elif strategy in ("mean", "average"):
         rows = moments if moments is not None else numeric_moments(df, columns).collect()

@@ -1,11 +1,12 @@
 """Exact percentiles of groups of any size.
 
-Groups of ordinary size use Spark's own ``percentile``. That aggregate keeps
-every distinct value of a group in one buffer, so groups above the limit are
-narrowed instead: a small sketch proposes a bracket, exact counts place the
-wanted rank inside or outside of it, and the rows left in the bracket are
-looked at again until few remain. The sketch only steers; the counts decide, so
-the result does not depend on its error.
+Groups of ordinary size are sorted once as an array, and every percentile is
+read from it by position; this is several times faster than the built-in
+``percentile``, which keeps a map of boxed values per percentile. Groups above
+the limit are narrowed instead: a small sketch proposes a bracket, exact counts
+place the wanted rank inside or outside of it, and the rows left in the bracket
+are looked at again until few remain. The sketch only steers; the counts decide,
+so the result does not depend on its error.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +33,20 @@ PROBES = 500
 DIRECT_ROWS = 50_000
 
 
-def percentile_column(value: str, fraction: float, discrete: bool = False):
-    """Built-in exact percentile: interpolated, or the first value that reaches the fraction."""
-    kind = "percentile_disc" if discrete else "percentile_cont"
-    return F.expr(f"{kind}({float(fraction)!r}D) WITHIN GROUP (ORDER BY `{value}`)").cast("double")
+def sorted_values(value: str) -> Column:
+    """Aggregate: the values of a group of bounded size in ascending order."""
+    return F.sort_array(F.collect_list(value))
+
+
+def percentile_of(values: str, fraction: float, discrete: bool = False) -> Column:
+    """Percentile of a sorted array: interpolated, or the first value that reaches the fraction."""
+    n = F.size(values)
+    if discrete:
+        return F.get(values, F.greatest(F.ceil(n * F.lit(float(fraction))).cast("int") - 1, F.lit(0)))
+    place = (n - 1) * F.lit(float(fraction))
+    at = F.floor(place).cast("int")
+    low, high, weight = F.get(values, at), F.get(values, F.least(at + 1, n - 1)), place - at
+    return F.when(low == high, low).otherwise((F.lit(1.0) - weight) * low + weight * high)
 
 
 def exact_percentiles(
@@ -51,19 +62,24 @@ def exact_percentiles(
 
     ``store=False`` scans ``df`` again in every narrowing pass instead of
     checkpointing the values of the large groups; right for a plain table scan.
+    ``max_group_rows=None`` is for callers who know that no group is large.
     """
     by = list(by)
     number = F.nullif(F.col(value).cast("double"), F.lit(float("nan")))
     values = df.select(*by, number.alias("_value")).where(F.col("_value").isNotNull())
     groups = large_groups(values, by, max_group_rows)
-    aggregates = [percentile_column("_value", f, discrete).alias(name) for name, f in fractions.items()]
+
+    def direct(rows: DataFrame) -> DataFrame:
+        arrays = rows.groupBy(*by).agg(sorted_values("_value").alias("_sorted"))
+        return arrays.select(*by, *[percentile_of("_sorted", f, discrete).alias(name) for name, f in fractions.items()])
+
     if groups is None:
-        return values.groupBy(*by).agg(*aggregates)
+        return direct(values)
     large = rows_of(values, groups, by)
     narrowed = _narrow(checkpointed(large) if store else large, groups, by, fractions, discrete)
     if not by:
         return narrowed
-    return rows_outside(values, groups, by).groupBy(*by).agg(*aggregates).unionByName(narrowed)
+    return direct(rows_outside(values, groups, by)).unionByName(narrowed)
 
 
 def _wanted_ranks(n: int, fraction: float, discrete: bool) -> tuple[int, int, float]:

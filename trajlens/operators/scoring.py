@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from trajlens.models.batches import window_batch
 from trajlens.operators.labels import UNLABELLED
 from trajlens.operators.ordering import MAX_GROUP_ROWS, broadcast_if_small, large_groups
-from trajlens.operators.quantiles import exact_percentiles, percentile_column
+from trajlens.operators.quantiles import exact_percentiles, percentile_of, sorted_values
 
 SCORE = "outlier_score"
 PREDICTION = "is_outlier"
@@ -106,8 +106,9 @@ def aggregate_entities(
     fractions = {"median_score": 0.5, "p95_score": 0.95}
     groups = large_groups(scored, keys, max_group_rows)
     if groups is None:
-        percentiles = [percentile_column(score, f).alias(name) for name, f in fractions.items()]
-        rolled = scored.groupBy(*keys).agg(*aggregates, *percentiles)
+        arrays = scored.groupBy(*keys).agg(*aggregates, sorted_values(score).alias("_sorted"))
+        percentiles = [percentile_of("_sorted", f).alias(name) for name, f in fractions.items()]
+        rolled = arrays.select("*", *percentiles).drop("_sorted")
     else:
         ranks = exact_percentiles(scored, keys, score, fractions, max_group_rows=max_group_rows)
         rolled = scored.groupBy(*keys).agg(*aggregates).join(ranks, keys, "left")

@@ -1,8 +1,8 @@
 """The steps of a study as functions from DataFrames to DataFrames.
 
-Steps that use a table more than once accept an output folder. They then write
-the table there and read it back, so a lost executor costs a re-read and not a
-recomputation of everything before it.
+Scores that several later steps read are stored first: in the output folder when
+one is given, else in the cluster's checkpoint folder. A lost executor then costs
+a re-read and not a recomputation of everything before it.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from trajlens.operators import (
     thresholds,
     windows as windowing,
 )
-from trajlens.operators.ordering import MAX_GROUP_ROWS, local_table
+from trajlens.operators.ordering import MAX_GROUP_ROWS, checkpointed, local_table
 from trajlens.roles import Roles
 
 SPLITS = ("train", "validation", "test")
@@ -203,11 +203,18 @@ def prepare(
     return Prepared(windows, fitted, fingerprints)
 
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
+def _stored(df: DataFrame, path: str | None) -> DataFrame:
+    """Written to the path and read back, or checkpointed when there is no path."""
+    if path is None:
+        return checkpointed(df)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _below(out_dir: str | None, *parts: str) -> str | None:
+    return None if out_dir is None else "/".join([out_dir.rstrip("/"), *parts])
+
+
 # --- fit, threshold, evaluate ----------------------------------------------
 
 
@@ -264,9 +271,7 @@ def fit_and_threshold(
         start = time.time()
         fitted[name] = model(train_windows)
         seconds[name] = round(time.time() - start, 3)
-    scored = score_models(validation_windows, fitted, entity)
-    if out_dir is not None:
-        scored = _stored(scored, f"{out_dir}/scores/validation")
+    scored = _stored(score_models(validation_windows, fitted, entity), _below(out_dir, "scores", "validation"))
     rolled = scoring.aggregate_entities(scored, entity, by=["model"], max_group_rows=max_group_rows)
     chosen = thresholds.select(
         rolled, score_col, strategy=strategy, percent=percent, by=["model"], max_group_rows=max_group_rows
@@ -308,21 +313,18 @@ def evaluate(
 ) -> Evaluation:
     """Score a split, flag windows and entities by each model's threshold, and measure entities.
 
-    With an output folder every model's window scores are written on their own,
-    which gives its inference time, and later steps read the written scores.
+    Every model's window scores are stored on their own, which gives its
+    inference time, and later steps read the stored scores.
     """
     _check_score(score_col)
     spark = windows.sparkSession
-    seconds: dict[str, float | None] = {name: None for name in models}
-    if out_dir is None:
-        scored = score_models(windows, models, entity)
-    else:
-        parts = []
-        for name, model in models.items():
-            start = time.time()
-            parts.append(_stored(score_models(windows, {name: model}, entity), f"{out_dir}/scores/{split}/{name}"))
-            seconds[name] = round(time.time() - start, 3)
-        scored = reduce(DataFrame.unionByName, parts)
+    seconds: dict[str, float] = {}
+    parts = []
+    for name, model in models.items():
+        start = time.time()
+        parts.append(_stored(score_models(windows, {name: model}, entity), _below(out_dir, "scores", split, name)))
+        seconds[name] = round(time.time() - start, 3)
+    scored = reduce(DataFrame.unionByName, parts)
     flagged = scoring.classify(scored, thresholds=limits, by=["model"])
     rolled = scoring.aggregate_entities(
         flagged, entity, by=["model"], min_windows=min_windows, max_group_rows=max_group_rows
