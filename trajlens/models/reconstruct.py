@@ -50,12 +50,12 @@ def _describe(windows: DataFrame) -> tuple[int, int, np.ndarray]:
         F.size(F.get("X", F.lit(0))).alias("width"),
         array_to_vector(F.flatten("X")).alias("cells"),
     )
-    row = rows.agg(
-        F.max("size").alias("size"), F.max("width").alias("width"), Summarizer.mean(rows["cells"]).alias("mean")
-    ).first()
-    if not row["size"] or not row["width"]:
+    shapes = rows.groupBy("size", "width").agg(Summarizer.mean(rows["cells"]).alias("mean")).limit(2).collect()
+    if not shapes or shapes[0]["size"] <= 0 or shapes[0]["width"] <= 0:
         raise ValueError("the window table is empty")
-    return row["size"], row["width"], np.asarray(row["mean"].toArray())
+    if len(shapes) > 1:
+        raise ValueError("windows of unequal shape in one table")
+    return shapes[0]["size"], shapes[0]["width"], np.asarray(shapes[0]["mean"].toArray())
 
 
 def _window_shape(windows: DataFrame) -> tuple[int, int]:
@@ -361,6 +361,8 @@ def _run_epoch(train, state, steps, shapes, batch_size, learning_rate, seed) ->
         .collect()
     )
     rows = sum(r["rows"] for r in merged)
+    if not rows:
+        raise ValueError("the window table is empty")
     averaged = sum(r["state"].toArray() * (r["rows"] / rows) for r in merged)
     assert len(averaged) == 3 * n_weights
     return averaged, steps + max(r["steps"] for r in merged), sum(r["total"] for r in merged) / rows

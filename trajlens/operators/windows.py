@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +23,11 @@ WINDOW_SIZE = 30
 STRIDE = 5
 LABEL_POLICIES = ("vehicle_label", "max_label_in_window", "unlabeled")
 
-# Positions of one chunk of a large trajectory, and of one stored trajectory part.
-CHUNK_ROWS = 50_000
+# Positions of one chunk, and of one stored trajectory part.
+CHUNK_ROWS = 1000
 TRAJECTORY_PART_ROWS = 50_000
+# Window starts of one entity that go to the same file when files are hashed.
+FILE_CHUNK_ROWS = 50_000
 
 
 def _steps(
@@ -67,47 +69,67 @@ def build_windows(
 ) -> DataFrame:
     """``(window_id, entity, start_idx, start_time_step, end_time_step, X, y_true)``.
 
-    Windows start at positions 0, stride, 2·stride… and are complete. One
-    shuffle by entity serves numbering and framing, and a frame never holds more
-    than ``size`` steps. Trajectories above ``max_group_rows`` are cut into
-    chunks that borrow the first ``size - 1`` steps of the next chunk, so one
-    huge entity is windowed by many tasks.
+    Windows start at positions 0, stride, 2·stride… and are complete. Steps are
+    numbered and gathered in short chunks; a chunk borrows the first
+    ``size - 1`` steps of the next one and its windows are slices of it. One
+    shuffle by entity serves all of that, and no array grows with a trajectory.
+    Trajectories above ``max_group_rows`` are numbered and chunked by many
+    tasks, and each chunk is its own shuffle group.
     """
     steps = _steps(df, features, entity, time, label, label_policy, dtype)
     groups = large_groups(steps.select(entity), [entity], max_group_rows)
     usual = steps if groups is None else rows_outside(steps, groups, [entity])
     order = _order(steps)
-    framed = _frame(with_position(usual, [entity], order), [entity], order, size)
+    chunk = _chunk_length(size, stride, chunk_rows)
+    placed = with_position(usual, [entity], order)
+    own = placed.groupBy(entity, F.floor(F.col("_idx") / chunk).alias("_chunk")).agg(_gathered(placed).alias("_own"))
+    following = Window.partitionBy(entity).orderBy("_chunk")
+    head = F.slice("_own", 1, max(size - 1, 1)) if size > 1 else F.slice("_own", 1, 0)
+    chunks = own.withColumn("_next", F.lead(head).over(following)).select(
+        entity,
+        "_chunk",
+        F.when(F.col("_next").isNull(), F.col("_own")).otherwise(F.concat("_own", "_next")).alias("_steps"),
+    )
     if groups is not None:
-        placed = large_group_positions(
-            steps, groups, [entity], order, slice_rows=max(max_group_rows // 4, 1)
+        placed = large_group_positions(steps, groups, [entity], order, slice_rows=max(max_group_rows // 4, 1))
+        spread = in_chunks(placed, chunk, after=size - 1)
+        chunks = chunks.unionByName(
+            spread.groupBy(entity, "_chunk").agg(_gathered(placed).alias("_steps"))
         )
-        chunks = in_chunks(placed, max(chunk_rows, size), after=size - 1)
-        large = _frame(chunks, [entity, "_chunk"], ["_idx"], size).where("_own")
-        framed = framed.unionByName(large.select(framed.columns))
-    complete = framed.where((F.col("_idx") % stride == 0) & (F.size("X") == size))
-    return complete.select(
+    last_start = F.least(F.size("_steps") - size, F.lit(chunk - 1))
+    starts = chunks.where(F.size("_steps") >= size).withColumn(
+        "_start", F.explode(F.sequence(F.lit(0), last_start, F.lit(stride)))
+    )
+    cut = starts.select(
+        entity,
+        (F.col("_chunk") * chunk + F.col("_start")).alias("_idx"),
+        F.slice("_steps", F.col("_start") + 1, F.lit(size)).alias("_window"),
+    )
+    if "_label" in steps.columns:
+        # missing and negative labels give -1
+        top = F.array_max(F.transform("_window", lambda s: s["_label"]))
+        y_true = F.greatest(F.coalesce(top, F.lit(UNLABELLED)), F.lit(UNLABELLED))
+    else:
+        y_true = F.lit(UNLABELLED)
+    return cut.select(
         F.concat_ws("_", F.col(entity).cast("string"), F.col("_idx").cast("string")).alias("window_id"),
         entity,
         F.col("_idx").cast("int").alias("start_idx"),
-        F.col("_time").alias("start_time_step"),
-        F.col("_last").alias("end_time_step"),
-        "X",
-        # missing and negative labels give -1
-        F.greatest(F.coalesce("_top", F.lit(UNLABELLED)), F.lit(UNLABELLED)).alias("y_true"),
+        F.element_at("_window", 1)["_time"].alias("start_time_step"),
+        F.element_at("_window", size)["_time"].alias("end_time_step"),
+        F.transform("_window", lambda s: s["_x"]).alias("X"),
+        y_true.alias("y_true"),
     )
 
 
-def _frame(df: DataFrame, by: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
-    """Per step: the features of the next ``size`` steps, the last time and the largest label among them."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    ahead = window.rowsBetween(0, size - 1)
-    return df.select(
-        *[c for c in df.columns if c not in ("_x", "_label")],
-        F.collect_list("_x").over(ahead).alias("X"),
-        F.lead("_time", size - 1).over(window).alias("_last"),
-        (F.max("_label").over(ahead) if "_label" in df.columns else F.lit(UNLABELLED)).alias("_top"),
-    )
+def _chunk_length(size: int, stride: int, wanted: int) -> int:
+    """At least ``wanted`` and ``size`` positions, and a multiple of the stride."""
+    return -(-max(wanted, size) // stride) * stride
+
+
+def _gathered(placed: DataFrame) -> Column:
+    """Aggregate: the steps of a chunk in order."""
+    return F.sort_array(F.collect_list(F.struct("_idx", *_order(placed))))
 
 
 def trajectories(
@@ -192,7 +214,7 @@ def write_windows(
     step are written as they are. Feature names go to a manifest next to it.
     """
     if files is not None:
-        windows = windows.repartition(files, entity, F.floor(F.col("start_idx") / CHUNK_ROWS))
+        windows = windows.repartition(files, entity, F.floor(F.col("start_idx") / FILE_CHUNK_ROWS))
     windows.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(path)
     spark = windows.sparkSession
     if features is not None:
