@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlens.functions.expressions import is_finite
-from trajlens.operators.ordering import MAX_GROUP_ROWS, broadcast_if_small, running_totals
+from trajlens.operators.ordering import MAX_GROUP_ROWS, beside, running_totals
 
 
 def labelled(scores: DataFrame, label: str = "y_true", score: str | None = None) -> DataFrame:
@@ -88,9 +88,8 @@ def _ranked(
     ordered = distinct.withColumn("_key", -F.col("_s") if descending else F.col("_s"))
     running = running_totals(ordered, by, ["_key"], {"_tp": "_p", "_fp": "_q"}, max_group_rows)
     totals = distinct.groupBy(*by).agg(F.sum("_p").alias("_positives"), F.sum("_q").alias("_negatives"))
-    totals = broadcast_if_small(totals.withColumn("_one", F.lit(1)))
     both = (F.col("_positives") > 0) & (F.col("_negatives") > 0)
-    return running.withColumn("_one", F.lit(1)).join(totals, [*by, "_one"]).where(both).drop("_one")
+    return beside(running, totals, by).where(both)
 
 
 def ranking_metrics(
@@ -116,7 +115,7 @@ def ranking_metrics(
     )
     if not by:
         return found
-    return labelled(scores, label, score).select(*by).distinct().join(found, list(by), "left")
+    return beside(labelled(scores, label, score).select(*by).distinct(), found, by, "left")
 
 
 def roc_auc(scores: DataFrame, score: str, label: str = "y_true", by: Sequence[str] = (), **kw) -> DataFrame:

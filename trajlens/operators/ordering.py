@@ -51,6 +51,23 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(local_table(df.sparkSession, rows, df.schema))
 
 
+def beside(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Add to every row what ``facts`` knows about its group; ``facts`` has one row per group.
+
+    Keys match null-safely. The table is broadcast only after its size was
+    checked. Without keys there is one group, whose values become literals.
+    """
+    if not keys:
+        row = facts.first()
+        known = [f for f in facts.schema.fields if f.name not in df.columns]
+        return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in known])
+    renamed = broadcast_if_small(facts.withColumnsRenamed({k: f"_beside_{k}" for k in keys}))
+    condition = F.lit(True)
+    for key in keys:
+        condition = F.col(key).eqNullSafe(F.col(f"_beside_{key}")) & condition
+    return df.join(renamed, condition, how).drop(*[f"_beside_{k}" for k in keys])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temporary one only on a local master."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

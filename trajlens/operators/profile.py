@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlens.functions.expressions import even_bin, is_finite, safe_numeric
-from trajlens.operators.ordering import MAX_GROUP_ROWS, broadcast_if_small
+from trajlens.operators.ordering import MAX_GROUP_ROWS, beside
 from trajlens.operators.quantiles import exact_percentiles
 
 # Bins, whisker length in interquartile ranges, largest correlation table.
@@ -37,19 +37,17 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = BINS, by: Seque
     cells = _cells(df, columns, by)
     ranges = cells.groupBy(*keys).agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
     flat = F.col("_min") == F.col("_max")
-    ranges = broadcast_if_small(
-        ranges.select(
-            *keys,
-            F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_low"),
-            F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_high"),
-        )
+    ranges = ranges.select(
+        *keys,
+        F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_low"),
+        F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_high"),
     )
     low, high = F.col("_low"), F.col("_high")
-    placed = cells.join(ranges, keys).groupBy(*keys, even_bin(F.col("value"), low, high, bins).alias("bin"))
-    counted = placed.agg(F.count(F.lit(1)).alias("count"))
+    placed = beside(cells, ranges, keys).select(*keys, even_bin(F.col("value"), low, high, bins).alias("bin"))
+    counted = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     empty = ranges.select(*keys, "_low", "_high", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     step = (high - low) / float(bins)
-    return empty.join(counted, [*keys, "bin"], "left").select(
+    return beside(empty, counted, [*keys, "bin"], "left").select(
         *keys,
         "bin",
         (low + F.col("bin") * step).alias("low"),
@@ -73,12 +71,11 @@ def boxplot_stats(
     quartiles = exact_percentiles(
         cells, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, max_group_rows=max_group_rows, store=False
     )
-    box = broadcast_if_small(quartiles)
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     value = F.col("value")
     inside_low = F.when(value >= F.col("q1") - reach, value)
     inside_high = F.when(value <= F.col("q3") + reach, value)
-    found = cells.join(box, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    found = beside(cells, quartiles, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(inside_low).alias("_low"), F.max(inside_high).alias("_high"), F.count(F.lit(1)).alias("n")
     )
     # A whisker never ends inside the box.

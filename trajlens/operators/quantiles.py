@@ -121,11 +121,21 @@ def _narrow(df: DataFrame, groups: DataFrame, by: list[str], fractions: Mapping[
             for g, wanted in keys
             for t in [targets[(g, wanted)]]
         ]
+        value = F.col("_value")
+
+        def inside(low: Column, high: Column) -> Column:
+            return (low.isNull() | (value > low)) & (high.isNull() | (value < high))
+
+        if not by:  # one group: its few targets travel as a literal
+            names = [f.name for f in target_schema.fields]
+            literals = [
+                F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, target_schema.fields)])
+                for row in rows
+            ]
+            fitting = F.filter(F.array(*literals), lambda t: inside(t["_low"], t["_high"]))
+            return df.select("_value", F.inline(fitting)).select("_value", *names)
         table = F.broadcast(local_table(spark, rows, target_schema))
-        inside = (F.col("_low").isNull() | (F.col("_value") > F.col("_low"))) & (
-            F.col("_high").isNull() | (F.col("_value") < F.col("_high"))
-        )
-        condition = inside
+        condition = inside(F.col("_low"), F.col("_high"))
         for key in by:
             condition = F.col(key).eqNullSafe(F.col(f"_key_{key}")) & condition
         return df.join(table, condition)

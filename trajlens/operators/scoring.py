@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from trajlens.models.batches import window_batch
 from trajlens.operators.labels import UNLABELLED
-from trajlens.operators.ordering import MAX_GROUP_ROWS, broadcast_if_small, large_groups
+from trajlens.operators.ordering import MAX_GROUP_ROWS, beside, large_groups
 from trajlens.operators.quantiles import exact_percentiles, percentile_of, sorted_values
 
 SCORE = "outlier_score"
@@ -58,10 +58,9 @@ def classify(
     if threshold is not None:
         limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
         return scores.withColumn(prediction, (F.col(score) > limit).cast("int"))
-    table = broadcast_if_small(thresholds.select(*by, F.col("threshold").alias("_threshold")))
-    return scores.join(table, list(by)).withColumn(
-        prediction, (F.col(score) > F.col("_threshold")).cast("int")
-    ).drop("_threshold")
+    limits = thresholds.select(*by, F.col("threshold").alias("_threshold"))
+    flagged = beside(scores, limits, by).withColumn(prediction, (F.col(score) > F.col("_threshold")).cast("int"))
+    return flagged.drop("_threshold")
 
 
 def predictions(
@@ -133,7 +132,8 @@ def window_summary(
         F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_outlier_score"),
     )
     fractions = {"median_outlier_score": 0.5, "p95_outlier_score": 0.95}
-    return _beside(counts, exact_percentiles(scored, by, score, fractions, max_group_rows=max_group_rows), by)
+    ranks = exact_percentiles(scored, by, score, fractions, max_group_rows=max_group_rows)
+    return beside(counts, ranks, by, "left")
 
 
 def summarize(
@@ -149,19 +149,11 @@ def summarize(
         F.avg(prediction).alias("outlier_window_ratio"),
     )
     ranks = exact_percentiles(scored, by, score, {"median_score": 0.5}, max_group_rows=max_group_rows)
-    return _beside(counts, ranks, by).select(
+    return beside(counts, ranks, by, "left").select(
         *by, "n_windows", "min_score", "mean_score", "median_score", "max_score", "outlier_window_ratio"
     )
 
 
-def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join two results that have one row per ``by`` key (one row each without keys)."""
-    if by:
-        return left.join(right, list(by), "left")
-    one = F.lit(1).alias("_one")
-    return left.select("*", one).join(F.broadcast(right.select("*", one)), "_one", "left").drop("_one")
-
-
 def top_entities(rolled: DataFrame, entity: str, k: int = 10, score: str = "max_score") -> DataFrame:
     """The k entities with the highest score, ties by id."""
     return rolled.orderBy(F.desc(score), entity).limit(k)

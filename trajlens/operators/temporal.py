@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trajlens.operators.ordering import (
     MAX_GROUP_ROWS,
+    beside,
     in_chunks,
     large_group_positions,
     large_groups,
@@ -107,8 +108,5 @@ def _summary(df, value, fractions, aggregates, exact, max_group_rows) -> DataFra
     if not exact:
         sketch = [F.percentile_approx(value, f).cast("double").alias(name) for name, f in fractions.items()]
         return df.agg(*aggregates, *sketch)
-    # Equal values are merged first; both sides are one row.
-    one = F.lit(1).alias("_one")
-    plain = df.agg(*aggregates).select("*", one)
-    ranks = exact_percentiles(df, [], value, fractions, discrete=True, max_group_rows=max_group_rows).select("*", one)
-    return plain.join(F.broadcast(ranks), "_one", "left").drop("_one")
+    ranks = exact_percentiles(df, [], value, fractions, discrete=True, max_group_rows=max_group_rows)
+    return beside(df.agg(*aggregates), ranks, [])

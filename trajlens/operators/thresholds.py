@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlens.functions.expressions import grid_point, grid_points_below
-from trajlens.operators.ordering import MAX_GROUP_ROWS, broadcast_if_small
+from trajlens.operators.ordering import MAX_GROUP_ROWS, beside
 from trajlens.operators.quantiles import exact_percentiles
 
 # Threshold defaults and strategy names.
@@ -65,11 +65,11 @@ def best_f1(
     if not by:
         empty = F.raise_error(F.lit("no labelled scores to take a threshold from")).cast("double")
         ranges = ranges.withColumn("_low", F.when(F.col("_n") == 0, empty).otherwise(F.col("_low")))
-    keyed_ranges = broadcast_if_small(ranges.withColumn("_one", F.lit(1)))
     low, high = F.col("_low"), F.col("_high")
     both = (F.col("_positives") > 0) & (F.col("_positives") < F.col("_n"))
 
-    placed = usable.withColumn("_one", F.lit(1)).join(keyed_ranges, [*by, "_one"]).where(both)
+    ranged = beside(usable, ranges, by)
+    placed = ranged.where(both)
     counted = placed.groupBy(
         *by, "_low", "_high", "_positives", grid_points_below(F.col("_s"), low, high, points).alias("_k")
     ).agg(F.sum(y).alias("_tp"), F.count(F.lit(1)).alias("_above"))
@@ -98,9 +98,8 @@ def best_f1(
     best = Window.partitionBy(*by).orderBy(F.desc("f1"), "threshold")
     chosen = ranked.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") == 1).drop("_rank")
 
-    single = usable.withColumn("_one", F.lit(1)).join(keyed_ranges, [*by, "_one"]).where(~both)
     fallback = exact_percentiles(
-        single, by, "_s", {"threshold": fallback_percent / 100.0}, max_group_rows=max_group_rows
+        ranged.where(~both), by, "_s", {"threshold": fallback_percent / 100.0}, max_group_rows=max_group_rows
     ).where(F.col("threshold").isNotNull())
     return chosen.unionByName(fallback.withColumn("f1", F.lit(None).cast("double")))
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from trajlens.operators.labels import UNLABELLED
 from trajlens.operators.ordering import (
     MAX_GROUP_ROWS,
+    beside,
     in_chunks,
     large_group_positions,
     large_groups,
@@ -223,9 +224,8 @@ def write_windows(
             f"{path.rstrip('/')}_features"
         )
     stored = read_windows(spark, path)
-    counts = window_summary(stored, entity).withColumn("_one", F.lit(1))
-    sizes = inspect_windows(stored).select("window_size", "n_features", F.lit(1).alias("_one"))
-    return counts.join(F.broadcast(sizes), "_one").drop("_one").withColumn("output_path", F.lit(path))
+    sizes = inspect_windows(stored).select("window_size", "n_features")
+    return beside(window_summary(stored, entity), sizes, []).withColumn("output_path", F.lit(path))
 
 
 def read_windows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -34,6 +34,7 @@ from trajlens.operators import (
 )
 from trajlens.operators.ordering import MAX_GROUP_ROWS, checkpointed, local_table
 from trajlens.roles import Roles
+from trajlens.sources.metric_files import ENTITY_LEVEL
 
 SPLITS = ("train", "validation", "test")
 
@@ -284,7 +285,7 @@ def fit_and_threshold(
         "threshold",
         F.lit(score_col).alias("score_col"),
         F.lit("validation").alias("selection_split"),
-        F.lit("entity").alias("selection_level"),
+        F.lit(ENTITY_LEVEL).alias("selection_level"),
         "training_time_seconds",
     )
     return fitted, table
@@ -339,7 +340,7 @@ def evaluate(
         .join(limits.select("model", "threshold", "training_time_seconds"), "model", "left")
         .join(F.broadcast(times), "model", "left")
         .withColumn("split", F.lit(split))
-        .withColumn("level", F.lit("vehicle"))
+        .withColumn("level", F.lit(ENTITY_LEVEL))
     )
     summary = scoring.window_summary(scored, entity, by=["model"], max_group_rows=max_group_rows).withColumn(
         "split", F.lit(split)

@@ -171,7 +171,7 @@ def _prepared(spark, sf):
 @query(
     "fit_and_threshold",
     f"""WITH {_ROLLED} SELECT 'mean_profile' AS model, round(threshold, 6) AS threshold, 'max_score' AS score_col,
-          'validation' AS selection_split, 'entity' AS selection_level FROM limits""",
+          'validation' AS selection_split, 'vehicle' AS selection_level FROM limits""",
 )
 def fit_and_threshold_query(spark, sf):
     prepared = _prepared(spark, sf)
