@@ -75,9 +75,12 @@ def confusion_matrix(
 
 
 def _ranked(
-    scores: DataFrame, score: str, label: str, by: Sequence[str], max_group_rows: int | None, descending: bool
-) -> DataFrame:
-    """One row per distinct score with its class counts, running totals and group totals."""
+    scores: DataFrame, score: str, label: str, by: Sequence[str], max_group_rows: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """One row per distinct score, highest first, with its class counts, running totals and group totals.
+
+    Also the totals of the groups that have both classes; the others have no ranking.
+    """
     rows = labelled(scores, label, score).select(
         *by, F.col(score).cast("double").alias("_s"), (F.col(label) == 1).cast("long").alias("_y")
     )
@@ -85,11 +88,11 @@ def _ranked(
     distinct = rows.groupBy(*by, (F.col("_s") + F.lit(0.0)).alias("_s")).agg(
         F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_q")
     )
-    ordered = distinct.withColumn("_key", -F.col("_s") if descending else F.col("_s"))
+    ordered = distinct.withColumn("_key", -F.col("_s"))
     running = running_totals(ordered, by, ["_key"], {"_tp": "_p", "_fp": "_q"}, max_group_rows)
-    totals = distinct.groupBy(*by).agg(F.sum("_p").alias("_positives"), F.sum("_q").alias("_negatives"))
+    totals = rows.groupBy(*by).agg(F.sum("_y").alias("_positives"), F.sum(1 - F.col("_y")).alias("_negatives"))
     both = (F.col("_positives") > 0) & (F.col("_negatives") > 0)
-    return beside(running, totals, by).where(both)
+    return beside(running, totals, by).where(both), totals.where(both)
 
 
 def ranking_metrics(
@@ -103,7 +106,7 @@ def ranking_metrics(
 
     ROC-AUC counts a tie as half. PR-AUC is average precision, the step sum.
     """
-    ranked = _ranked(scores, score, label, by, max_group_rows, descending=True)
+    ranked, _ = _ranked(scores, score, label, by, max_group_rows)
     # Positives above a negative count fully, positives in the same score half.
     above = F.col("_tp") - F.col("_p")
     pairs = F.sum(F.col("_q") * (above + F.col("_p") / F.lit(2.0)))
@@ -134,14 +137,14 @@ def pr_curve(
     max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """``(by…, threshold, precision, recall)`` per distinct score, with the end point (null, 1, 0)."""
-    ranked = _ranked(scores, score, label, by, max_group_rows, descending=True)
+    ranked, groups = _ranked(scores, score, label, by, max_group_rows)
     points = ranked.select(
         *by,
         F.col("_s").alias("threshold"),
         (F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("precision"),
         (F.col("_tp") / F.col("_positives")).alias("recall"),
     )
-    end = _groups_of(ranked, by).select(
+    end = groups.select(
         *by,
         F.lit(None).cast("double").alias("threshold"),
         F.lit(1.0).alias("precision"),
@@ -163,7 +166,7 @@ def roc_curve(
     ``drop_collinear`` leaves out points whose neighbours lie on one line with
     them: the counts added at the point and at the next one are equal.
     """
-    ranked = _ranked(scores, score, label, by, max_group_rows, descending=True)
+    ranked, groups = _ranked(scores, score, label, by, max_group_rows)
     if drop_collinear:
         following = ranked.select(
             *by,
@@ -180,14 +183,8 @@ def roc_curve(
         (F.col("_fp") / F.col("_negatives")).alias("fpr"),
         (F.col("_tp") / F.col("_positives")).alias("tpr"),
     )
-    start = _groups_of(ranked, by).select(
+    start = groups.select(
         *by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return points.unionByName(start)
 
-
-def _groups_of(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The groups that have a curve; one empty-keyed row without keys."""
-    if by:
-        return ranked.select(*by).distinct()
-    return ranked.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0)
