@@ -92,113 +92,60 @@ def _wanted_ranks(n: int, fraction: float, discrete: bool) -> tuple[int, int, fl
     return low, min(low + 1, n - 1), place - low
 
 
-def _narrow(df: DataFrame, groups: DataFrame, by: list[str], fractions: Mapping[str, float], discrete: bool) -> DataFrame:
-    """Percentiles of the listed groups; driver state is one bracket per group and rank."""
-    spark = df.sparkSession
-    members = [tuple(row) for row in groups.collect()]
-    key_fields = [groups.schema[k] for k in by]
+class _Brackets:
+    """Rows of large groups that lie in open brackets (group, low, high); several ranks share a bracket.
 
-    # Open bracket (low, high) and the wanted rank among the rows inside it.
-    targets: dict[tuple[int, int], dict] = {}
-    for group, member in enumerate(members):
-        for fraction in fractions.values():
-            low, high, _ = _wanted_ranks(member[-1], fraction, discrete)
-            for rank in (low, high):
-                targets[(group, rank)] = {"low": None, "high": None, "rank": rank, "rows": member[-1]}
-    found: dict[tuple[int, int], float] = {}
-
-    target_schema = T.StructType(
-        [T.StructField(f"_key_{f.name}", f.dataType) for f in key_fields]
-        + [T.StructField("_group", T.IntegerType()), T.StructField("_wanted", T.LongType())]
-        + [T.StructField(name, T.DoubleType()) for name in ("_low", "_high", "_a", "_b")]
-        + [T.StructField("_rank", T.LongType())]
-    )
+    Driver state and broadcast are a few brackets per large group.
+    """
 
-    def candidates(keys: Sequence[tuple[int, int]], brackets: Mapping | None = None) -> DataFrame:
-        """Rows inside the bracket of each target; at most targets rows are broadcast."""
-        rows = [
-            (*members[g][:-1], g, wanted, t["low"], t["high"], *(brackets[(g, wanted)] if brackets else (None, None)), t["rank"])
-            for g, wanted in keys
-            for t in [targets[(g, wanted)]]
+    def __init__(self, df: DataFrame, groups: DataFrame, by: list[str]):
+        self.df, self.by = df, by
+        self.members = [tuple(row) for row in groups.collect()]
+        self.key_fields = [groups.schema[k] for k in by]
+
+    def rows(self, brackets: Sequence[tuple], extra_fields: Sequence[T.StructField], extras: Sequence[tuple]) -> DataFrame:
+        """``(_value, _bracket, extras…)`` for every row and bracket that holds it."""
+        fields = [T.StructField(f"_key_{f.name}", f.dataType) for f in self.key_fields] + [
+            T.StructField("_bracket", T.IntegerType()),
+            T.StructField("_low", T.DoubleType()),
+            T.StructField("_high", T.DoubleType()),
+            *extra_fields,
+        ]
+        table = [
+            (*self.members[group][:-1], i, low, high, *extra)
+            for i, ((group, low, high), extra) in enumerate(zip(brackets, extras))
         ]
         value = F.col("_value")
 
         def inside(low: Column, high: Column) -> Column:
             return (low.isNull() | (value > low)) & (high.isNull() | (value < high))
 
-        if not by:  # one group: its few targets travel as a literal
-            names = [f.name for f in target_schema.fields]
+        if not self.by:  # one group: its few brackets travel as a literal
             literals = [
-                F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, target_schema.fields)])
-                for row in rows
+                F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in table
             ]
             fitting = F.filter(F.array(*literals), lambda t: inside(t["_low"], t["_high"]))
-            return df.select("_value", F.inline(fitting)).select("_value", *names)
-        table = F.broadcast(local_table(spark, rows, target_schema))
+            return self.df.select("_value", F.inline(fitting))
         condition = inside(F.col("_low"), F.col("_high"))
-        for key in by:
+        for key in self.by:
             condition = F.col(key).eqNullSafe(F.col(f"_key_{key}")) & condition
-        return df.join(table, condition)
+        return self.df.join(F.broadcast(local_table(self.df.sparkSession, table, T.StructType(fields))), condition)
 
-    probes = [i / PROBES for i in range(PROBES + 1)]
+
+def _narrow(df: DataFrame, groups: DataFrame, by: list[str], fractions: Mapping[str, float], discrete: bool) -> DataFrame:
+    """Percentiles of the listed groups."""
+    source = _Brackets(df, groups, by)
+    members = source.members
+    # (group, wanted rank) -> bracket, rank inside it, rows inside it
+    targets: dict[tuple[int, int], dict] = {}
+    for group, member in enumerate(members):
+        for fraction in fractions.values():
+            for rank in _wanted_ranks(member[-1], fraction, discrete)[:2]:
+                targets[(group, rank)] = {"bracket": (group, None, None), "rank": rank, "rows": member[-1]}
+    found: dict[tuple[int, int], float] = {}
     while open_targets := [k for k in targets if k not in found]:
-        direct = [k for k in open_targets if targets[k]["rows"] <= DIRECT_ROWS]
-        if direct:
-            picked = (
-                candidates(direct)
-                .groupBy("_group", "_wanted", "_rank")
-                .agg(F.sort_array(F.collect_list("_value")).alias("_sorted"))
-                .select("_group", "_wanted", F.get("_sorted", F.col("_rank").cast("int")).alias("_hit"))
-            )
-            found.update({(r["_group"], r["_wanted"]): r["_hit"] for r in picked.collect()})
-        wide = [k for k in open_targets if targets[k]["rows"] > DIRECT_ROWS]
-        if not wide:
-            continue
-        sketches = (
-            candidates(wide)
-            .groupBy("_group", "_wanted")
-            .agg(F.percentile_approx("_value", probes, 4 * PROBES).alias("_probes"))
-            .collect()
-        )
-        brackets = {}
-        for row in sketches:
-            key = (row["_group"], row["_wanted"])
-            place = targets[key]["rank"] / max(targets[key]["rows"] - 1, 1) * PROBES
-            below, above = max(math.floor(place) - 1, 0), min(math.ceil(place) + 1, PROBES)
-            brackets[key] = (row["_probes"][below], row["_probes"][above])
-        value, a, b = F.col("_value"), F.col("_a"), F.col("_b")
-        counts = (
-            candidates(wide, brackets)
-            .groupBy("_group", "_wanted")
-            .agg(
-                F.count_if(value < a).alias("before"),
-                F.count_if(value == a).alias("at_a"),
-                F.count_if((value > a) & (value < b)).alias("between"),
-                F.count_if((value == b) & (a < b)).alias("at_b"),
-                F.count_if(value > b).alias("after"),
-            )
-            .collect()
-        )
-        for row in counts:
-            key = (row["_group"], row["_wanted"])
-            target, (a_value, b_value) = targets[key], brackets[key]
-            rank = target["rank"]
-            if rank < row["before"]:
-                target.update(high=a_value, rows=row["before"])
-                continue
-            rank -= row["before"]
-            if rank < row["at_a"]:
-                found[key] = a_value
-                continue
-            rank -= row["at_a"]
-            if rank < row["between"]:
-                target.update(low=a_value, high=b_value, rank=rank, rows=row["between"])
-                continue
-            rank -= row["between"]
-            if rank < row["at_b"]:
-                found[key] = b_value
-                continue
-            target.update(low=b_value, rank=rank - row["at_b"], rows=row["after"])
+        _look_up(source, [k for k in open_targets if targets[k]["rows"] <= DIRECT_ROWS], targets, found)
+        _split(source, [k for k in open_targets if targets[k]["rows"] > DIRECT_ROWS], targets, found)
 
     rows = []
     for group, member in enumerate(members):
@@ -208,5 +155,75 @@ def _narrow(df: DataFrame, groups: DataFrame, by: list[str], fractions: Mapping[
             left, right = found[(group, low)], found[(group, high)]
             results.append(left if left == right else (1.0 - weight) * left + weight * right)
         rows.append((*member[:-1], *results))
-    schema = T.StructType([*key_fields, *[T.StructField(name, T.DoubleType()) for name in fractions]])
-    return local_table(spark, rows, schema)
+    schema = T.StructType([*source.key_fields, *[T.StructField(name, T.DoubleType()) for name in fractions]])
+    return local_table(df.sparkSession, rows, schema)
+
+
+def _look_up(source: _Brackets, keys: Sequence[tuple], targets: dict, found: dict) -> None:
+    """Sort the few rows of each bracket and read the wanted ranks."""
+    if not keys:
+        return
+    brackets = sorted({targets[k]["bracket"] for k in keys}, key=str)
+    ranks = [sorted({targets[k]["rank"] for k in keys if targets[k]["bracket"] == b}) for b in brackets]
+    field = T.StructField("_ranks", T.ArrayType(T.IntegerType()))
+    picked = (
+        source.rows(brackets, [field], [(r,) for r in ranks])
+        .groupBy("_bracket", "_ranks")
+        .agg(sorted_values("_value").alias("_sorted"))
+        .select("_bracket", F.transform("_ranks", lambda r: F.get("_sorted", r)).alias("_hits"))
+    )
+    hits = {r["_bracket"]: r["_hits"] for r in picked.collect()}
+    for key in keys:
+        i = brackets.index(targets[key]["bracket"])
+        found[key] = hits[i][ranks[i].index(targets[key]["rank"])]
+
+
+def _split(source: _Brackets, keys: Sequence[tuple], targets: dict, found: dict) -> None:
+    """Propose a narrower bracket for every target and let exact counts decide."""
+    if not keys:
+        return
+    brackets = sorted({targets[k]["bracket"] for k in keys}, key=str)
+    fractions = [i / PROBES for i in range(PROBES + 1)]
+    sketches = source.rows(brackets, [], [()] * len(brackets)).groupBy("_bracket").agg(
+        F.percentile_approx("_value", fractions, 4 * PROBES).alias("_probes")
+    )
+    probes = {brackets[r["_bracket"]]: r["_probes"] for r in sketches.collect()}
+    proposals = {}
+    for key in keys:
+        target = targets[key]
+        place = target["rank"] / max(target["rows"] - 1, 1) * PROBES
+        known = probes[target["bracket"]]
+        ends = known[max(math.floor(place) - 1, 0)], known[min(math.ceil(place) + 1, PROBES)]
+        proposals[key] = (target["bracket"], ends)
+
+    # Neighbouring ranks mostly share a proposal and are counted together.
+    distinct = sorted(set(proposals.values()), key=str)
+    ends_fields = [T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType())]
+    value, a, b = F.col("_value"), F.col("_a"), F.col("_b")
+    counted = source.rows([bracket for bracket, _ in distinct], ends_fields, [ends for _, ends in distinct])
+    counts = counted.groupBy("_bracket").agg(
+        F.count_if(value < a).alias("before"),
+        F.count_if(value == a).alias("at_a"),
+        F.count_if((value > a) & (value < b)).alias("between"),
+        F.count_if((value == b) & (a < b)).alias("at_b"),
+        F.count_if(value > b).alias("after"),
+    )
+    by_proposal = {distinct[r["_bracket"]]: r for r in counts.collect()}
+    for key in keys:
+        target, row = targets[key], by_proposal[proposals[key]]
+        (group, low, high), (a_value, b_value) = proposals[key]
+        rank = target["rank"]
+        for stretch, size, hit in (
+            ((group, low, a_value), row["before"], None),
+            (None, row["at_a"], a_value),
+            ((group, a_value, b_value), row["between"], None),
+            (None, row["at_b"], b_value),
+            ((group, b_value, high), row["after"], None),
+        ):
+            if rank < size:
+                if hit is not None:
+                    found[key] = hit
+                else:
+                    target.update(bracket=stretch, rank=rank, rows=size)
+                break
+            rank -= size

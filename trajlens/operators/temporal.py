@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from trajlens.operators.ordering import (
     MAX_GROUP_ROWS,
     beside,
+    checkpointed,
     in_chunks,
     large_group_positions,
     large_groups,
+    local_table,
     rows_outside,
 )
 from trajlens.operators.quantiles import exact_percentiles
@@ -108,5 +110,13 @@ def _summary(df, value, fractions, aggregates, exact, max_group_rows) -> DataFra
     if not exact:
         sketch = [F.percentile_approx(value, f).cast("double").alias(name) for name, f in fractions.items()]
         return df.agg(*aggregates, *sketch)
-    ranks = exact_percentiles(df, [], value, fractions, discrete=True, max_group_rows=max_group_rows)
-    return beside(df.agg(*aggregates), ranks, [])
+    facts = df.agg(*aggregates, F.count(value).alias("_n"))
+    row = facts.first()
+    small = max_group_rows is None or row["_n"] <= max_group_rows
+    values = df.select(value)
+    if not small:
+        values = checkpointed(values)  # read several times from here on
+    ranks = exact_percentiles(
+        values, [], value, fractions, discrete=True, max_group_rows=None if small else max_group_rows, store=False
+    )
+    return beside(ranks, local_table(df.sparkSession, [tuple(row)], facts.schema).drop("_n"), [])
