@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def day(column: str):
-    return F.unix_date(F.col(column).cast("date"))
+    return F.unix_date(F.col(column).cast("date")).cast("long")
 
 
 # --- readouts: one supplier's shipments as a trajectory ---------------------

@@ -82,7 +82,7 @@ def missing_report_top(spark, sf):
 @query(
     "column_profile",
     _MISSING
-    + """ SELECT ordinal, "column", CASE "column" WHEN 'entity_id' THEN 'bigint' WHEN 't' THEN 'int'
+    + """ SELECT ordinal, "column", CASE "column" WHEN 'entity_id' THEN 'bigint' WHEN 't' THEN 'bigint'
             WHEN 'unit' THEN 'int' ELSE 'double' END AS dtype, missing_count, missing_ratio FROM report""",
 )
 def column_profile(spark, sf):
@@ -238,7 +238,7 @@ def label_summary(spark, sf):
 @query(
     "class_distribution",
     f"""WITH {ORDER_CLASSES}, {CLASSES}
-        SELECT 'orders' AS source, class_label, count(*) AS count FROM order_classes WHERE class_label IS NOT NULL GROUP BY 2
+        SELECT 'orders' AS source, CAST(class_label AS INTEGER) AS class_label, count(*) AS count FROM order_classes WHERE class_label IS NOT NULL GROUP BY 2
         UNION ALL SELECT 'suppliers', class_label, count(*) FROM classes GROUP BY 2""",
 )
 def class_distribution(spark, sf):
