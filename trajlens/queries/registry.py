@@ -1,4 +1,4 @@
-"""The two dictionaries that queries register in."""
+"""Dictionaries that queries register in."""
 
 from __future__ import annotations
 
@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
+class Registry:
+    """Named queries and the SQL that must give the same rows."""
 
-def query(name: str, sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame and the SQL that must give the same rows."""
+    def __init__(self):
+        self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+        self.oracle: dict[str, str] = {}
 
-    def register(function):
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLE[name] = sql
-        return function
+    def query(self, name: str, sql: str | None = None):
+        """Register a function (spark, sf_dir) -> DataFrame under a name."""
 
-    return register
+        def register(function):
+            if name in self.queries:
+                raise ValueError(f"query {name} is registered twice")
+            self.queries[name] = function
+            if sql is not None:
+                self.oracle[name] = sql
+            return function
+
+        return register
+
+
+REGISTRY = Registry()
+query, QUERIES, ORACLE = REGISTRY.query, REGISTRY.queries, REGISTRY.oracle
