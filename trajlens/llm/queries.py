@@ -8,6 +8,7 @@ from trajlens.llm import sql
 from trajlens.llm.chat_format import conversation_digest, format_conversations
 from trajlens.llm.common import table
 from trajlens.llm.exact_dedup import exact_groups
+from trajlens.llm.ngram_join import similar_documents
 from trajlens.queries.registry import Registry
 
 REGISTRY = Registry()
@@ -29,3 +30,8 @@ def op5_chat_format(spark, sf_dir):
         " AS t(conv_id, turn, role, text)"
     )
     return conversation_digest(format_conversations(conversations.unionByName(marked)))
+
+
+@query("op9_ngram_join", sql.NGRAM_JOIN)
+def op9_ngram_join(spark, sf_dir):
+    return similar_documents(table(spark, sf_dir, "documents"))
