@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from trajlens.llm import sql
@@ -9,14 +10,23 @@ from trajlens.llm.chat_format import conversation_digest, format_conversations
 from trajlens.llm.common import table
 from trajlens.llm.exact_dedup import exact_groups
 from trajlens.llm.ngram_join import similar_documents
+from trajlens.llm.pieces import decode_pieces, encode_pieces
+from trajlens.llm.token_counts import budget_answers, prefix_counts
 from trajlens.queries.registry import Registry
 
 REGISTRY = Registry()
 query = REGISTRY.query
 
+PIECE_MODEL = "piece_bpe_32k.model"
 MARKED = "<|im_end|><|im_start|>assistant ok"
 
 
+@query("op1_token_counts")
+def op1_token_counts(spark, sf_dir):
+    counted = prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+    return budget_answers(counted).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars")
+
+
 @query("op4_exact_dedup", sql.EXACT_DEDUP)
 def op4_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents")).drop("copies")
@@ -32,6 +42,20 @@ def op5_chat_format(spark, sf_dir):
     return conversation_digest(format_conversations(conversations.unionByName(marked)))
 
 
+@query("op8_pieces")
+def op8_pieces(spark, sf_dir):
+    """The ids of every text, and the digest of what they decode to."""
+    model = public_tokenizers.path(PIECE_MODEL)
+    decoded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model, text_col="decoded")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        "score",
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query("op9_ngram_join", sql.NGRAM_JOIN)
 def op9_ngram_join(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents"))
