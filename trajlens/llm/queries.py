@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from trajlens.llm import sql
 from trajlens.llm.chat_format import conversation_digest, format_conversations
-from trajlens.llm.common import table
+from trajlens.llm.common import remainder, table
 from trajlens.llm.exact_dedup import exact_groups
+from trajlens.llm.language_id import fit_languages, predict_languages
 from trajlens.llm.ngram_join import similar_documents
 from trajlens.llm.pieces import decode_pieces, encode_pieces
 from trajlens.llm.token_counts import budget_answers, prefix_counts
+from trajlens.llm.toxicity import score_toxicity
 from trajlens.queries.registry import Registry
 
 REGISTRY = Registry()
@@ -27,6 +29,21 @@ def op1_token_counts(spark, sf_dir):
     return budget_answers(counted).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars")
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "toxic")
+    scored = score_toxicity(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(remainder(F.col("doc_id"), 4) != 2).select("text", "lang"))
+    predicted = predict_languages(docs, model)
+    return predicted.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query("op4_exact_dedup", sql.EXACT_DEDUP)
 def op4_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents")).drop("copies")
