@@ -9,6 +9,7 @@ from trajlens.llm import sql
 from trajlens.llm.chat_format import conversation_digest, format_conversations
 from trajlens.llm.common import remainder, table
 from trajlens.llm.exact_dedup import exact_groups
+from trajlens.llm.fingerprints import edited_fingerprints
 from trajlens.llm.language_id import fit_languages, predict_languages
 from trajlens.llm.ngram_join import similar_documents
 from trajlens.llm.pieces import decode_pieces, encode_pieces
@@ -59,6 +60,11 @@ def op5_chat_format(spark, sf_dir):
     return conversation_digest(format_conversations(conversations.unionByName(marked)))
 
 
+@query("op6_fingerprints")
+def op6_fingerprints(spark, sf_dir):
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op8_pieces")
 def op8_pieces(spark, sf_dir):
     """The ids of every text, and the digest of what they decode to."""
