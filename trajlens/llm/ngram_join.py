@@ -38,7 +38,11 @@ PERCENT = 75
 PACK_SHINGLES, BUCKET_SHINGLES = 1_500_000, 1_500_000
 PACK_SETS = 60_000
 # Fragments of the global order in which overlaps are counted apart.
-FRAGMENT_BITS = 3
+FRAGMENT_BITS = 2
+# Lists are compared by pivots first while they hold more open pairs than this for each of their rows.
+PAIRS_PER_ROW = 64
+# Rows of one pivot's lists that are dealt to one group.
+DEALT_ROWS = 200_000
 _LOW = 6  # bytes of a shingle that are sent; the bucket stands for the rest
 
 _NODE = "node long, check long, n_shingles int"
@@ -223,48 +227,91 @@ def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _components(suspects: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs ``(a, b)`` of nodes that share a list, differ in component and may be similar.
+
+    A linked pair may be similar in the list of its first common shingle: there both
+    sides hold, from that shingle on (``rest``), as many shingles as the overlap needs.
+
+    Near copies meet in hundreds of lists, so lists are dealt by their pivot: those
+    with the same pivot hold much the same nodes, and their pairs are made distinct
+    in place. The lists of a pivot are dealt out further when they hold many rows.
+    """
+    lists = placed.groupBy("shingle").agg(F.min(F.struct("alone", "node"))["node"].alias("pivot"), F.count(F.lit(1)).alias("n"))
+    loads = lists.groupBy("pivot").agg(F.sum("n").alias("rows"))
+    shard = F.pmod(F.xxhash64("shingle"), F.floor(F.col("rows") / DEALT_ROWS) + 1)
+    dealt = lists.join(loads, "pivot").select("shingle", "pivot", shard.alias("shard"))
+
+    def pairs_of(key, table):
+        shingle, node, component, size, rest = (
+            table.column(c).to_numpy() for c in ("shingle", "node", "component", "size", "rest")
+        )
+        names, at = np.unique(node, return_inverse=True)
+        order = np.lexsort((at, shingle))
+        shingle, at, component, size, rest = (x[order] for x in (shingle, at, component, size, rest))
+        starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+        found, held = [], 0
+        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
+            for i in range(begin, end - 1):
+                after = slice(i + 1, end)
+                fits = (100 + percent) * np.minimum(rest[i], rest[after]) >= percent * (size[i] + size[after])
+                others = at[after][fits & (component[after] != component[i])]
+                found.append(at[i] * len(names) + others)
+                held += len(others)
+            if held > 4_000_000:
+                found = [np.unique(np.concatenate(found))]
+                held = len(found[0])
+        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pa.table({"a": names[codes // len(names)], "b": names[codes % len(names)]})
+
+    rows = placed.join(dealt, "shingle").select("pivot", "shard", "shingle", "node", "component", "size", "rest")
+    return rows.groupBy("pivot", "shard").applyInArrow(pairs_of, "a long, b long").distinct()
+
+
+def _pivot_pairs(placed: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of each list's pivots with its other nodes, and the pivots ``(shingle, node)``.
+
+    The first pivot is the node with the fewest shingles of its own, as the origin of copies has; more are drawn.
+    """
+    first = F.min(F.struct("alone", "node"))["node"]
+    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(1, pivots)]
+    picked = placed.groupBy("shingle").agg(F.array(first, *drawn).alias("picked"))
+    chosen = picked.select("shingle", F.explode(F.array_distinct("picked")).alias("node"))
+    other = chosen.join(placed, ["shingle", "node"]).select("shingle", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "rest", "component")])
+    met = placed.join(other, "shingle").where(F.col("component") != F.col("_component"))
+    met = met.where(F.lit(100 + percent) * F.least("rest", "_rest") >= F.lit(percent) * (F.col("size") + F.col("_size")))
+    return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct(), chosen
+
+
+def _components(suspects: DataFrame, percent: int, budget: int = PAIRS_PER_ROW) -> DataFrame:
     """``(node, component)`` of all linked nodes."""
     fragments = suspects.where("fragment >= 0")
-    live = suspects.where("fragment < 0").select(
-        "node", "size", (F.col("alone") / F.col("size")).alias("alone"), F.explode("shingles").alias("shingle")
+    prefixes = suspects.where("fragment < 0").select("node", "size", "alone", F.posexplode("shingles").alias("at", "shingle"))
+    live = prefixes.select(
+        "node", "size", (F.col("alone") / F.col("size")).alias("alone"), (F.col("size") - F.col("alone") - F.col("at")).alias("rest"), "shingle"
     )
-    budget = live.count()
     spark = suspects.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
-    pivots = 1
+    most, pivots = None, 1
     while True:
         placed = live.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         kinds = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
         lists = kinds.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        open_ = stored(lists.where("same < n * n").select("shingle", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")))
-        left = open_.agg(F.sum("pairs")).first()[0]
+        pairs = ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")
+        unfinished = stored(lists.where("same < n * n").select("shingle", "n", pairs))
+        left, rows = unfinished.agg(F.sum("pairs"), F.sum("n")).first()
         if not left:
             return labels
-        placed = stored(placed.join(open_.select("shingle"), "shingle").select("shingle", "node", "size", "alone", "component"))
-        fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-        last = left <= budget
-        if last:
-            chosen = placed
-        else:
-            # The first pivot is the node with the fewest shingles of its own, as the origin of copies has; more are drawn.
-            first = F.min(F.struct("alone", "node"))["node"]
-            drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(1, pivots)]
-            picked = placed.groupBy("shingle").agg(F.array(first, *drawn).alias("picked"))
-            chosen = picked.select("shingle", F.explode(F.array_distinct("picked")).alias("node")).join(placed, ["shingle", "node"])
-        other = chosen.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "component")])
-        met = placed.join(other, "shingle").where(F.col("component") != F.col("_component")).where(fits(F.col("size"), F.col("_size")))
-        if last:
-            met = met.where(F.col("node") < F.col("_node"))
-        pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        links = stored(links.unionByName(_links(pairs, fragments, percent)))
+        most = most or budget * rows
+        placed = stored(placed.join(unfinished.select("shingle"), "shingle").select("shingle", "node", "size", "alone", "rest", "component"))
+        if left <= most:
+            links = stored(links.unionByName(_links(_open_pairs(placed, percent), fragments, percent)))
+            return connected_components(links)
+        found, chosen = _pivot_pairs(placed, pivots, percent)
+        links = stored(links.unionByName(_links(found, fragments, percent)))
         labels = connected_components(links)
-        if last:
-            return labels
-        live = stored(
-            placed.join(chosen.select("shingle", "node"), ["shingle", "node"], "left_anti").select("node", "size", "alone", "shingle")
-        )
+        live = placed.join(chosen, ["shingle", "node"], "left_anti").select("node", "size", "alone", "rest", "shingle")
         pivots = min(2 * pivots, 32)
 
 
