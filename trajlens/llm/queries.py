@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from trajlens.llm import sql
+from trajlens.llm.class_lm import score_texts
 from trajlens.llm.chat_format import conversation_digest, format_conversations
 from trajlens.llm.common import remainder, table
 from trajlens.llm.exact_dedup import exact_groups
@@ -65,6 +66,14 @@ def op6_fingerprints(spark, sf_dir):
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query("op7_class_lm")
+def op7_class_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    scored = score_texts(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op8_pieces")
 def op8_pieces(spark, sf_dir):
     """The ids of every text, and the digest of what they decode to."""
