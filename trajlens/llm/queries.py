@@ -12,6 +12,7 @@ from trajlens.llm.common import remainder, table
 from trajlens.llm.exact_dedup import exact_groups
 from trajlens.llm.fingerprints import edited_fingerprints
 from trajlens.llm.language_id import fit_languages, predict_languages
+from trajlens.llm.mixing import mixing_plan, topic_of
 from trajlens.llm.ngram_join import similar_documents
 from trajlens.llm.pieces import decode_pieces, encode_pieces
 from trajlens.llm.token_counts import budget_answers, prefix_counts
@@ -91,3 +92,10 @@ def op8_pieces(spark, sf_dir):
 @query("op9_ngram_join", sql.NGRAM_JOIN)
 def op9_ngram_join(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_mixing", sql.mixing())
+def op10_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("topic", topic_of(F.col("text")))
+    plan = mixing_plan(docs, ["source", "lang", "topic"])
+    return plan.withColumn("probability", F.round("probability", 6))

@@ -43,3 +43,45 @@ reach AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """
+
+
+def mixing(rounds: int = 10, seed: int = 5, power: float = 0.5, share: float = 0.5) -> str:
+    """The raking steps written out one after the other."""
+    margins = ("source", "lang", "topic")
+    steps, at = [], "start"
+    for i in range(rounds):
+        for m in margins:
+            name = f"f{i}_{m}"
+            steps.append(
+                f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * target / s AS weight FROM {at}"
+                f" JOIN (SELECT {m}, sum(weight) AS s FROM {at} GROUP BY {m}) USING ({m})"
+                f" JOIN target_{m} USING ({m}))"
+            )
+            at = name
+    targets = ", ".join(
+        f"target_{m} AS MATERIALIZED (SELECT {m}, p / sum(p) OVER () AS target FROM (SELECT {m},"
+        f" pow(sum(tokens) / (SELECT sum(tokens) FROM cells), {power}) AS p FROM cells GROUP BY {m}))"
+        for m in margins
+    )
+    return rf"""
+WITH rows AS MATERIALIZED (
+  SELECT doc_id, source, lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens,
+    CASE WHEN contains(text, ' | ') THEN 'table'
+      WHEN contains(text, 'Licensed under') OR contains(text, 'Copyright') THEN 'licence'
+      WHEN contains(text, '@') OR contains(text, 'http') THEN 'contact' ELSE 'prose' END AS topic
+  FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM rows GROUP BY ALL),
+{targets},
+start AS (SELECT *, tokens / (SELECT sum(tokens) FROM cells) AS weight FROM cells),
+{", ".join(steps)},
+ratios AS (SELECT source, lang, topic, tokens, weight, weight / tokens AS ratio FROM {at}),
+ordered AS (
+  SELECT ratio, sum(tokens) OVER w - tokens AS tokens_before, sum(weight) OVER w - weight AS weight_before
+  FROM ratios WINDOW w AS (ORDER BY ratio DESC, source, lang, topic ROWS UNBOUNDED PRECEDING)),
+scales AS (SELECT ratio, ({share} * (SELECT sum(tokens) FROM cells) - tokens_before) / (1 - weight_before) AS scale FROM ordered),
+scale AS (SELECT first(scale ORDER BY ratio DESC) AS scale FROM scales WHERE scale * ratio <= 1),
+chances AS (SELECT source, lang, topic, least(1, ratio * scale) AS probability FROM ratios, scale)
+SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability,
+  CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{seed}'), 1, 12)) AS BIGINT) / 281474976710656.0 < probability AS kept
+FROM rows JOIN chances USING (source, lang, topic)
+"""
