@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import stored, table
+from trajlens.llm.common import stored, table, without
 from trajlens.llm.exact_dedup import drop_exact_copies
 from trajlens.llm.mixing import sample_mixture, topic_of
 from trajlens.llm.ngram_join import keep_one_of_similar
@@ -20,8 +20,8 @@ PIECE_MODEL = "piece_bpe_32k.model"
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from all labels of documents it is given."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    toxic = score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(stored(toxic), "doc_id", "left_anti").select(*COLUMNS)
+    toxic = stored(score_toxicity(docs, labels).where("predicted = 1").select("doc_id", "text_key"))
+    return without(docs, toxic, "doc_id", "text").select(*COLUMNS)
 
 
 def drop_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,25 @@ def stored(df: DataFrame) -> DataFrame:
 
 def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows of one id and different texts apart."""
+    return F.xxhash64(text_of(text))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are not among ``gone``, a table ``(doc_id, text_key)``; null ids match each other."""
+    key = free_name(docs, "_text_key")
+    named = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    marked = docs.withColumn(key, text_key(docs[text_col]))
+    same = marked[id_col].eqNullSafe(named["_gone_id"]) & (marked[key] == named["_gone_key"])
+    return marked.join(named, same, "left_anti").drop(key)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import ascii_lower, stored, text_of
+from trajlens.llm.common import ascii_lower, free_name, stored, text_of
 
 BLOCK_CHARS = 2048
 # Names are bucket * 2^32 + rank: sorting happens inside a bucket of the sort hash.
@@ -34,17 +34,12 @@ def _blocks(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
-def name_blocks(docs: DataFrame, key: str, text: str, size: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
-    """The rows with their number, and the block names of each: ``(key, rows)`` and ``(key, names array<long>)``.
+def name_blocks(cut: DataFrame, hashed: DataFrame, key: str) -> DataFrame:
+    """``(key, names array<long>)``: the block names of each key.
 
-    Rows that share a key must share the text. An empty text has the empty sequence.
+    ``cut`` holds ``(key, blocks array<string>)`` and may repeat a key with the same
+    blocks; ``hashed`` holds each key once with the blocks' hashes.
     """
-    cut = docs.select(key, _blocks(F.col(text), size).alias("blocks"))
-    hashed = stored(
-        cut.select(key, F.transform("blocks", lambda b: F.xxhash64(b)).alias("hashes"))
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("rows"), F.first("hashes").alias("hashes"))
-    )
     texts = (
         cut.select(F.explode("blocks").alias("block"))
         .groupBy(F.xxhash64("block").alias("hash"))
@@ -68,10 +63,9 @@ def name_blocks(docs: DataFrame, key: str, text: str, size: int = BLOCK_CHARS) -
         )
         rows = rows.join(tied, [key, "at"], "left").withColumn("name", F.coalesce("name", "tied_name"))
     gathered = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "name"))).alias("seq"))
-    named = hashed.join(gathered, key, "left").select(
+    return hashed.join(gathered, key, "left").select(
         key, F.coalesce(F.col("seq.name"), F.array().cast("array<bigint>")).alias("names")
     )
-    return hashed.select(key, "rows"), named
 
 
 def name_sequences(sequences: DataFrame, key: str, names: str = "names") -> DataFrame:
@@ -122,9 +116,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * Empty table: empty result. Other columns are ignored, whatever their names.
     """
     source = _entries(docs, id_col, text_col)
-    counts, named = name_blocks(source.select("entry", "text"), "entry", "text", size)
-    identity = stored(name_sequences(named, "entry").join(counts, "entry"))
-    rows = source.select("doc_id", "text_sha256", "entry").join(identity, "entry")
+    cut = source.withColumn("blocks", _blocks(F.col("text"), size))
+    hashes = F.transform("blocks", lambda b: F.xxhash64(b)).alias("hashes")
+    listed = stored(cut.select("doc_id", "text_sha256", "entry", hashes))
+    hashed = stored(listed.groupBy("entry").agg(F.count(F.lit(1)).alias("rows"), F.first("hashes").alias("hashes")))
+    names = name_sequences(name_blocks(cut.select("entry", "blocks"), hashed, "entry"), "entry")
+    identity = stored(names.join(hashed.select("entry", "rows"), "entry"))
+    rows = listed.drop("hashes").join(identity, "entry")
     groups = rows.groupBy("blocks", "name").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
@@ -141,14 +139,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one per group of equal texts, with their columns unchanged."""
     groups = stored(exact_groups(docs, id_col, text_col))
-    entry = F.concat_ws(":", F.col("text_sha256"), F.col("doc_id").cast("string"))
-    marked = docs.withColumn(
-        "_entry", F.concat_ws(":", F.sha2(ascii_lower(text_of(F.col(text_col))), 256), F.col(id_col).cast("string"))
-    )
-    gone = groups.where(~F.col("kept")).select(entry.alias("_entry")).distinct()
-    repeated = groups.where("kept and copies > 1").select(entry.alias("_entry")).distinct()
-    stay = marked.join(gone, "_entry", "left_anti")
+    listed = F.concat_ws(":", F.col("text_sha256"), F.col("doc_id").cast("string"))
+    entry = free_name(docs, "_entry")
+    digest = F.sha2(ascii_lower(text_of(docs[text_col])), 256)
+    marked = docs.withColumn(entry, F.concat_ws(":", digest, docs[id_col].cast("string")))
+    gone = groups.where(~F.col("kept")).select(listed.alias(entry)).distinct()
+    repeated = groups.where("kept and copies > 1").select(listed.alias(entry)).distinct()
+    stay = marked.join(gone, entry, "left_anti")
     if repeated.isEmpty():
-        return stay.drop("_entry")
-    once = stay.join(repeated, "_entry", "left_semi").dropDuplicates(["_entry"])
-    return stay.join(repeated, "_entry", "left_anti").unionByName(once).drop("_entry")
+        return stay.drop(entry)
+    once = stay.join(repeated, entry, "left_semi").dropDuplicates([entry])
+    return stay.join(repeated, entry, "left_anti").unionByName(once).drop(entry)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import WORD, stored, text_of
+from trajlens.llm.common import WORD, free_name, stored, text_of
 
 ROUNDS, SEED, SHARE = 10, 5, 0.5
 # Targets are the present shares to this power, so large groups are damped and none vanishes.
@@ -136,8 +136,10 @@ def sample_mixture(
     docs: DataFrame, margins: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, seed: int = SEED
 ) -> DataFrame:
     """The rows that such a plan keeps, with their columns unchanged; ``margins`` names an expression for each margin."""
-    named = [F.coalesce(c.cast("string"), F.lit(UNKNOWN)).alias(f"_margin_{name}") for name, c in margins.items()]
-    keys = [f"_margin_{name}" for name in margins]
-    chances = keep_chances(docs.select(*named, word_count(F.col(text_col)).alias("tokens")), keys, share=share)
-    joined = docs.select("*", *named).join(chances.withColumnRenamed("probability", "_probability"), keys)
-    return joined.where(uniform(F.col(id_col), seed) < F.col("_probability")).select(*docs.columns)
+    keys = [free_name(docs, f"_margin_{name}") for name in margins]
+    named = [F.coalesce(c.cast("string"), F.lit(UNKNOWN)).alias(k) for k, c in zip(keys, margins.values())]
+    chance = free_name(docs, "_probability")
+    weighed = docs.select(*named, word_count(docs[text_col]).alias("tokens"))
+    chances = keep_chances(weighed, keys, share=share).withColumnRenamed("probability", chance)
+    joined = docs.select("*", *named).join(chances, keys)
+    return joined.where(uniform(F.col(id_col), seed) < F.col(chance)).select(*[F.col(f"`{c}`") for c in docs.columns])

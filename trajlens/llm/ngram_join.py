@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import parallelism, stored
+from trajlens.llm.common import parallelism, stored, text_key, without
 from trajlens.llm.components import connected_components
 from trajlens.llm.hashing import SHINGLE, mix, shingle_sets
 
@@ -45,7 +45,7 @@ PAIRS_PER_ROW = 64
 DEALT_ROWS = 200_000
 _LOW = 6  # bytes of a shingle that are sent; the bucket stands for the rest
 
-_NODE = "node long, check long, n_shingles int"
+_NODE = "text_key long, node long, check long, n_shingles int"
 _PACKED = "bucket int, nodes binary, sizes binary, which binary, shingles binary"
 _SHARED = "part int, nodes binary, sizes binary, which binary, shingles binary, sets binary"
 _SUSPECT = "node long, size int, alone int, fragment int, shingles array<long>"
@@ -60,16 +60,18 @@ def _node(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_nodes(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, node, check, n_shingles)``: documents of equal shingle sets share a node."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """``(doc_id, text_key, node, check, n_shingles)``: documents of equal shingle sets share a node."""
+    source = docs.select(
+        F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text")
+    )
 
     def digest(batches):
         for batch in batches:
-            found = [(*_node(s), len(s)) for s in shingle_sets(batch.column(1), size)]
+            found = [(*_node(s), len(s)) for s in shingle_sets(batch.column(2), size)]
             node, check, n = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int32())],
-                names=["doc_id", "node", "check", "n_shingles"],
+                [*batch.columns[:2], pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int32())],
+                names=["doc_id", "text_key", "node", "check", "n_shingles"],
             )
 
     return source.mapInArrow(digest, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {_NODE}")
@@ -318,7 +320,7 @@ def _components(suspects: DataFrame, percent: int, budget: int = PAIRS_PER_ROW)
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE
 ) -> DataFrame:
-    """One row per input row: ``(doc_id, n_shingles, component_id)``.
+    """One row per input row: ``(doc_id, n_shingles, component_id, text_key)``.
 
     The set of a text holds its distinct shingles of ``size`` words, A-Z
     lower-cased; fewer words make one shingle. Two documents are linked when
@@ -349,10 +351,10 @@ def similar_documents(
     placed = filled.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = placed.join(smallest, "component").select(
-        "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id"
+        "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "text_key"
     )
     alone = nodes.where("n_shingles = 0").select(
-        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")
+        "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key"
     )
     return linked.unionByName(alone)
 
@@ -363,5 +365,4 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows without an id stay when no row of their component has one. Rows that repeat an id that stays, stay too.
     """
     members = similar_documents(docs, id_col, text_col, percent)
-    gone = members.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, stored(members.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))), id_col, text_col)

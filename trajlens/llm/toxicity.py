@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import remainder, stored
+from trajlens.llm.common import remainder, stored, text_key
 
 # Bounds of the fit: expected labelled rows used, and lexicon entries kept.
 FIT_ROWS, LEXICON_ENTRIES = 40_000, 5_000
@@ -141,26 +141,29 @@ class TextFeatures:
 
 
 def text_features(docs: DataFrame, lexicon: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, features array<double>)`` per row, over whole texts."""
+    """``(doc_id, text_key, features array<double>)`` per row, over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(
+        F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text")
+    )
 
     def compute(batches):
         features = TextFeatures(shared.value)
         for batch in batches:
-            rows = [features(t) for t in batch.column(1).to_pylist()]
+            rows = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "features"]
+                [batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))],
+                names=["doc_id", "text_key", "features"],
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(compute, f"doc_id {kind}, features array<double>")
+    return source.mapInArrow(compute, f"doc_id {kind}, text_key long, features array<double>")
 
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS
 ) -> DataFrame:
-    """One row per input row: ``(doc_id, score, predicted)``; 1 is predicted from a score of 0.5 on.
+    """One row per input row: ``(doc_id, text_key, score, predicted)``; 1 is predicted from a score of 0.5 on.
 
     ``labels`` holds ``(doc_id, toxic)`` of the rows to learn from. Of these, about
     ``fit_rows`` are used, drawn by a hash of the id; ids that repeat count once, as
@@ -184,7 +187,7 @@ def score_toxicity(
     training = stored(source.join(F.broadcast(chosen), "doc_id"))
     sizes = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     if len(sizes) < 2:
-        return source.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return source.select("doc_id", text_key(F.col("text")).alias("text_key"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     lexicon = learn_lexicon(training)
     vector = array_to_vector("features")
     fitted = stored(
@@ -205,4 +208,4 @@ def score_toxicity(
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(held)
     scored = calibration.transform(raw(text_features(source, lexicon).withColumn("features", vector)))
     score = F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0))
-    return scored.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.select("doc_id", "text_key", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
