@@ -8,7 +8,6 @@ The language with the highest sum over the whole text wins.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -170,7 +169,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
         for batch in batches:
             found, sure = [], []
             for text in batch.column(1).to_pylist():
-                words = words_of(text)
+                words = words_of(text) if languages else []
                 total = np.zeros(scores.shape[1])
                 for begin in range(0, len(words), 50_000):
                     part = words[begin : begin + 50_000]
@@ -178,7 +177,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
                         at.clear()
                     rows = [at[w] if w in at else row(w) for w in part]
                     total += scores[rows].sum(axis=0)
-                if not words or not languages:
+                if not words:
                     found.append(UNKNOWN)
                     sure.append(0.0)
                 else:
