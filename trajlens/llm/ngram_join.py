@@ -14,12 +14,13 @@ into fragments. Fragments are processed apart from each other:
 4. Nodes that share a prefix shingle are compared: the overlap is counted fragment
    by fragment, and the partial overlaps are summed per pair.
 
-A list of nodes that share a prefix shingle can hold thousands of near copies. Its
-pairs are never all made while there are many: every list is compared with one
-member of each kind (pivot) first, linked nodes are merged into components, and
-only pairs whose components still differ are compared afterwards. Pivots whose
-pairs are done leave their lists. No link between components can be missed, since
-in the end each pair of a list was compared or lies inside one component.
+A list of nodes that share a prefix shingle can hold thousands of near copies,
+whose pairs are not all made: first each node is compared with one pivot, the member
+of its lists that is most like an origin of copies, and linked nodes are merged into
+components. After that only pairs of a list whose components still differ, and
+which can reach the overlap from that shingle on, are compared. No link between
+components can be missed: each pair of a list was compared, can't be linked, or
+lies inside one component.
 """
 
 from __future__ import annotations
@@ -39,8 +40,6 @@ PACK_SHINGLES, BUCKET_SHINGLES = 1_500_000, 1_500_000
 PACK_SETS = 60_000
 # Fragments of the global order in which overlaps are counted apart.
 FRAGMENT_BITS = 2
-# Lists are compared by pivots first while they hold more open pairs than this for each of their rows.
-PAIRS_PER_ROW = 64
 # Rows of one pivot's lists that are dealt to one group.
 DEALT_ROWS = 200_000
 _LOW = 6  # bytes of a shingle that are sent; the bucket stands for the rest
@@ -270,51 +269,40 @@ def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("pivot", "shard").applyInArrow(pairs_of, "a long, b long").distinct()
 
 
-def _pivot_pairs(placed: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs of each list's pivots with its other nodes, and the pivots ``(shingle, node)``.
+def _pivot_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """One pair ``(a, b)`` per node at most: with the best of its lists' pivots that it may be similar to.
 
-    The first pivot is the node with the fewest shingles of its own, as the origin of copies has; more are drawn.
+    The pivot of a list is the node with the fewest shingles of its own, as the origin of copies has.
     """
-    first = F.min(F.struct("alone", "node"))["node"]
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(1, pivots)]
-    picked = placed.groupBy("shingle").agg(F.array(first, *drawn).alias("picked"))
-    chosen = picked.select("shingle", F.explode(F.array_distinct("picked")).alias("node"))
-    other = chosen.join(placed, ["shingle", "node"]).select("shingle", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "rest", "component")])
-    met = placed.join(other, "shingle").where(F.col("component") != F.col("_component"))
-    met = met.where(F.lit(100 + percent) * F.least("rest", "_rest") >= F.lit(percent) * (F.col("size") + F.col("_size")))
-    return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct(), chosen
+    best = F.struct("alone", "node", "size", "rest")
+    pivots = placed.groupBy("shingle").agg(F.min(best).alias("pivot"))
+    met = placed.join(pivots, "shingle").where(F.col("node") != F.col("pivot.node"))
+    met = met.where(
+        F.lit(100 + percent) * F.least("rest", "pivot.rest") >= F.lit(percent) * (F.col("size") + F.col("pivot.size"))
+    )
+    chosen = met.groupBy("node").agg(F.min(F.struct("pivot.alone", "pivot.node"))["node"].alias("pivot"))
+    return chosen.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _components(suspects: DataFrame, percent: int, budget: int = PAIRS_PER_ROW) -> DataFrame:
+def _components(suspects: DataFrame, percent: int) -> DataFrame:
     """``(node, component)`` of all linked nodes."""
     fragments = suspects.where("fragment >= 0")
     prefixes = suspects.where("fragment < 0").select("node", "size", "alone", F.posexplode("shingles").alias("at", "shingle"))
-    live = prefixes.select(
-        "node", "size", (F.col("alone") / F.col("size")).alias("alone"), (F.col("size") - F.col("alone") - F.col("at")).alias("rest"), "shingle"
+    rows = prefixes.select(
+        "node",
+        "size",
+        (F.col("alone") / F.col("size")).alias("alone"),
+        (F.col("size") - F.col("alone") - F.col("at")).alias("rest"),
+        "shingle",
     )
-    spark = suspects.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, component long")
-    most, pivots = None, 1
-    while True:
-        placed = live.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        kinds = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
-        lists = kinds.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        pairs = ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")
-        unfinished = stored(lists.where("same < n * n").select("shingle", "n", pairs))
-        left, rows = unfinished.agg(F.sum("pairs"), F.sum("n")).first()
-        if not left:
-            return labels
-        most = most or budget * rows
-        placed = stored(placed.join(unfinished.select("shingle"), "shingle").select("shingle", "node", "size", "alone", "rest", "component"))
-        if left <= most:
-            links = stored(links.unionByName(_links(_open_pairs(placed, percent), fragments, percent)))
-            return connected_components(links)
-        found, chosen = _pivot_pairs(placed, pivots, percent)
-        links = stored(links.unionByName(_links(found, fragments, percent)))
-        labels = connected_components(links)
-        live = placed.join(chosen, ["shingle", "node"], "left_anti").select("node", "size", "alone", "rest", "shingle")
-        pivots = min(2 * pivots, 32)
+    compared = stored(_pivot_pairs(rows, percent))
+    first = stored(_links(compared, fragments, percent))
+    labels = connected_components(first)
+    placed = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    unfinished = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    left = _open_pairs(stored(placed.join(unfinished.select("shingle"), "shingle")), percent)
+    rest = _links(left.join(compared, ["a", "b"], "left_anti"), fragments, percent)
+    return connected_components(first.unionByName(stored(rest)))
 
 
 def similar_documents(
