@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from trajlens.models.batches import window_batch
 from trajlens.models import DenseAutoencoder, MeanProfile, PcaLocal, PcaWindow, Reconstructor, load, loss, save
 from trajlens.models.reconstruct import _gradient, _layer_shapes
 from trajlens.operators import scoring
@@ -113,8 +115,29 @@ def test_empty_window_table(windows):
         MeanProfile.fit(windows.where("false"))
 
 
+@pytest.mark.parametrize(
+    "windows",
+    [
+        [[[1.0]] * 29, [[2.0]] * 31],
+        [[[1.0, 2.0], [3.0]], [[4.0], [5.0, 6.0]]],
+        [[[1.0]], None],
+        [[[1.0], None]],
+        [[[1.0], [None]]],
+    ],
+)
+def test_uneven_batches_are_refused(windows):
+    batch = pa.RecordBatch.from_arrays([pa.array(windows, pa.list_(pa.list_(pa.float64())))], names=["X"])
+    with pytest.raises(ValueError):
+        window_batch(batch)
+
+
+def test_a_sliced_batch_keeps_its_windows():
+    batch = pa.RecordBatch.from_arrays([pa.array([[[1.0], [2.0]], [[3.0], [4.0]], [[5.0], [6.0]]])], names=["X"])
+    assert window_batch(batch.slice(1, 2)).tolist() == [[[3.0], [4.0]], [[5.0], [6.0]]]
+
+
 def test_ragged_windows_are_refused(windows, spark):
     ragged = windows.withColumn("X", F.when(F.col("vehicle_id") == 1, F.slice("X", 1, 3)).otherwise(F.col("X")))
     model = MeanProfile(np.zeros((6, 2)))
-    with pytest.raises(Exception, match="unequal shape|broadcast"):
+    with pytest.raises(Exception, match="unequal shape"):
         scoring.score_windows(ragged.coalesce(1), model, "vehicle_id").collect()

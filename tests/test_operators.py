@@ -135,11 +135,20 @@ def test_stratified_entities_takes_lowest_ids(spark):
     assert sampling.stratified_entities(known, "vehicle_id", None).count() == 40
 
 
-def test_bounded_sample(spark):
-    df = spark.range(1000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
-    sample = sampling.bounded_sample(df, ["v"], fraction=0.5, max_rows=50)
-    assert sample.count() == 50
-    assert sampling.bounded_sample(df.limit(3), ["v"], fraction=0.0).count() == 3
+def test_bounded_sample_depends_on_keys_alone(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
+    drawn = lambda d, **o: rows(sampling.bounded_sample(d, ["v"], ["id"], **o).select("id"), "id")
+    half = drawn(df, fraction=0.5, max_rows=1000)
+    assert 400 < len(half) < 600 and half == drawn(df.repartition(7, "v"), fraction=0.5, max_rows=1000)
+    assert set(drawn(df, fraction=0.5, max_rows=50)) < set(half) and len(drawn(df, fraction=0.5, max_rows=50)) == 50
+    assert drawn(df, fraction=0.5, seed=1) != half and drawn(df, fraction=0.0) == []
+
+
+def test_class_sizes_round_the_share(spark):
+    known = spark.createDataFrame([(i, int(i < 69)) for i in range(120)], "vehicle_id int, class_label int")
+    chosen = sampling.stratified_entities(known, "vehicle_id", 100)
+    assert chosen.where("vehicle_id < 69").count() == round(100 * (69 / 120)) == 57
+    assert sampling.stratified_entities(known.limit(0), "vehicle_id", 5).count() == 0
 
 
 # --- preprocessing ---------------------------------------------------------

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from conftest import rows
@@ -75,6 +78,7 @@ def test_metric_files(spark, tmp_path):
         ("debug_025", "a", 25, 0.5), ("debug_025", "b", 25, 0.6), ("full", "a", None, 0.9)
     ]
     assert [r[2] for r in rows(compare.study_summary(found))] == ["b", "a"]
+    assert {tuple(r["other_keys"].items()) for r in found.collect()} == {(("extra", "1"),)}
 
 
 # --- lineage ---------------------------------------------------------------
@@ -200,3 +204,17 @@ def test_profile_reports(study):
     assert rows(full["classes"], "class_label") == [("labels", 0, 20), ("labels", 4, 10)]
     cheap = profile(tables, Roles(), ["train"], label_tables, cheap=True)
     assert "gaps" not in cheap and {r["source"] for r in cheap["missing"].collect()} == {"tte", "labels"}
+
+
+def test_entry_runs_from_an_empty_folder_without_a_path(tmp_path):
+    """Workers must not need to import the package."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util as u, pyspark.sql as s;"
+        f"m = u.spec_from_file_location('entry', {root + '/__spark_entry__.py'!r}); e = u.module_from_spec(m); m.loader.exec_module(e);"
+        "spark = s.SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate();"
+        "print('ROWS', e.entry(spark).count())"
+    )
+    environment = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_SUBMIT_ARGS", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    assert "ROWS 10" in done.stdout, done.stderr[-2000:]

@@ -31,7 +31,7 @@ def missing_models(metrics: DataFrame, expected: DataFrame, model: str = "model"
 
 def require_models(metrics: DataFrame, expected: DataFrame, allow_partial: bool = False) -> None:
     """Fail, naming the models, unless every expected model was evaluated."""
-    absent = [] if allow_partial else [r[0] for r in missing_models(metrics, expected).orderBy("model").limit(100).collect()]
+    absent = [] if allow_partial else [r[0] for r in missing_models(metrics, expected).orderBy("model").collect()]
     if absent:
         raise RuntimeError("no metrics for: " + ", ".join(absent))
 
@@ -62,6 +62,11 @@ def ranked(metrics: DataFrame, metric: str = "f1_score") -> DataFrame:
     return metrics.orderBy(F.desc_nulls_last(metric), "model")
 
 
+def ordered_metrics(metrics: DataFrame) -> DataFrame:
+    """All metric rows with the ``position`` of their run, in run order, then by model."""
+    return metrics.join(ordered_runs(metrics).select("position", "run_name"), "run_name").orderBy("position", "model")
+
+
 def metric_by_run(metrics: DataFrame, metric: str, models: Sequence[str] | None = None) -> DataFrame:
     """One row per run in run order, one column per model."""
     known = metrics.where(F.col(metric).isNotNull())

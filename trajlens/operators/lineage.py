@@ -58,7 +58,7 @@ def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
     A file is one row of at most 2 GB; larger files are refused.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    too_big = files.select("path", "length").where(F.col("length") > MAX_FILE_BYTES).limit(5).collect()
+    too_big = files.select("path", "length").where(F.col("length") > MAX_FILE_BYTES).orderBy("path").collect()
     if too_big:
         raise ValueError("files above 2 GB cannot be hashed in one row: " + ", ".join(r["path"] for r in too_big))
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))

@@ -89,17 +89,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def large_groups(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame | None:
     """``(keys…, _group_rows)`` of the groups above ``max_rows``, or None if there are none.
 
-    At most ``rows / max_rows`` groups qualify. Should that still be many, the
-    limit is doubled until the list is small enough to broadcast.
+    A short list becomes part of the plan; a long one stays a stored table, and
+    Spark chooses how to join it.
     """
     if max_rows is None:
         return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows"))
-    while True:
-        rows = collect_bounded(sizes.where(F.col("_group_rows") > max_rows))
-        if rows is not None:
-            break
-        max_rows *= 2
+    large = sizes.where(F.col("_group_rows") > max_rows)
+    rows = collect_bounded(large)
+    if rows is None:
+        return checkpointed(large)
     return local_table(df.sparkSession, rows, sizes.schema) if rows else None
 
 
@@ -110,7 +109,7 @@ def _pick(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str) -> Da
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(key).eqNullSafe(F.col(f"_probe_{key}"))
-    return df.join(F.broadcast(probe), condition, how)
+    return df.join(probe, condition, how)
 
 
 def rows_of(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlens.functions.expressions import even_bin, is_finite, safe_numeric
-from trajlens.operators.ordering import MAX_GROUP_ROWS, beside
+from trajlens.operators.ordering import MAX_GROUP_ROWS, beside, local_table
 from trajlens.operators.quantiles import exact_percentiles
 
-# Bins, whisker length in interquartile ranges, largest correlation table.
+# Bins, whisker length in interquartile ranges.
 BINS = 30
 WHISKER = 1.5
-MAX_CORRELATION_FEATURES = 12
 
 
 def _cells(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -91,17 +91,15 @@ def boxplot_stats(
 
 
 def correlation(
-    df: DataFrame,
-    columns: Sequence[str],
-    max_features: int = MAX_CORRELATION_FEATURES,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    df: DataFrame, columns: Sequence[str], max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """``(feature_a, feature_b, correlation)``: Pearson, missing values filled with the median.
 
     Features need at least three finite values that differ; with fewer than two
-    such features there is no row. One pass computes all pairs.
+    such features there is no row. One pass over assembled vectors gives the whole
+    matrix, whose size depends on the number of columns alone.
     """
-    names = list(columns)[:max_features]
+    names = list(columns)
     finite = {c: F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double")) for c in names}
     clean = df.select(*[finite[c].alias(c) for c in names])
     ranges = clean.agg(
@@ -116,19 +114,9 @@ def correlation(
         _cells(clean, usable, ()), ["feature"], "value", {"median": 0.5}, max_group_rows=max_group_rows, store=False
     ).collect()
     fills = {r["feature"]: r["median"] for r in rows}
-    filled = clean.select(*[safe_numeric(c, fills[c]).alias(c) for c in usable])
+    vector = array_to_vector(F.array(*[safe_numeric(c, fills[c]) for c in usable])).alias("features")
+    matrix = Correlation.corr(clean.select(vector), "features").first()[0].toArray()
     pairs = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("correlation"))
-        for a, b in combinations(usable, 2)
+        (a, b, 1.0 if a == b else float(matrix[i, j])) for i, a in enumerate(usable) for j, b in enumerate(usable)
     ]
-    upper = filled.agg(F.array(*pairs).alias("_pairs")).select(F.inline("_pairs"))
-    ones = F.array(
-        *[F.struct(F.lit(c).alias("feature_a"), F.lit(c).alias("feature_b"), F.lit(1.0).alias("correlation")) for c in usable]
-    )
-    both = F.array(
-        F.struct("feature_a", "feature_b", "correlation"),
-        F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation"),
-    )
-    diagonal = df.sparkSession.range(1).select(F.inline(ones))
-    return upper.select(F.inline(both)).unionByName(diagonal)
-
+    return local_table(df.sparkSession, pairs, schema)

@@ -48,14 +48,15 @@ def profile(
     readouts: Sequence[str] = (),
     label_tables: Mapping[str, str] | None = None,
     feature_table: str | None = None,
-    max_features: int = 10,
+    max_features: int | None = None,
     cheap: bool = False,
     exact: bool = False,
 ) -> dict[str, DataFrame]:
     """Report tables about the raw tables, each with a ``source`` column where it covers several.
 
     ``cheap`` leaves out the counts, missing values, gaps and lengths of the
-    tables named in ``readouts``, which are the large ones.
+    tables named in ``readouts``, which are the large ones. ``max_features``
+    restricts histograms, box plots and correlations to the first numeric columns; all are the default.
     """
     light = {name: df for name, df in tables.items() if not (cheap and name in readouts)}
     reports: dict[str, DataFrame] = {}
@@ -277,6 +278,7 @@ def fit_and_threshold(
     chosen = thresholds.select(
         rolled, score_col, strategy=strategy, percent=percent, by=["model"], max_group_rows=max_group_rows
     )
+    chosen = checkpointed(chosen)  # one row per model, used by every later step
     times = local_table(
         validation_windows.sparkSession, [(n, seconds.get(n)) for n in fitted], "model string, training_time_seconds double"
     )
@@ -330,7 +332,7 @@ def evaluate(
     rolled = scoring.aggregate_entities(
         flagged, entity, by=["model"], min_windows=min_windows, max_group_rows=max_group_rows
     )
-    entities = scoring.classify(rolled, thresholds=limits, by=["model"], score=score_col)
+    entities = checkpointed(scoring.classify(rolled, thresholds=limits, by=["model"], score=score_col))
     counts = metrics.binary_metrics(entities, by=["model"])
     ranking = metrics.ranking_metrics(entities, score_col, by=["model"], max_group_rows=max_group_rows)
     times = local_table(spark, list(seconds.items()), "model string, inference_time_seconds double")

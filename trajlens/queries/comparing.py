@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trajlens.functions.expressions import sanitize_run_name
 from trajlens.operators import compare
+from trajlens.operators.ordering import large_groups, with_position
 from trajlens.queries.bindings import METRIC_ROWS, metric_rows, table
 from trajlens.queries.registry import query
 
@@ -85,14 +86,27 @@ def runtime_table(spark, sf):
 
 @query(
     "ranked_metrics",
-    f"""WITH {METRIC_ROWS} SELECT run_name, model, f1_score, row_number() OVER (ORDER BY f1_score DESC NULLS LAST, model, run_name) AS place
-        FROM metric_rows WHERE run_name = 'full'""",
+    f"""WITH {METRIC_ROWS} SELECT run_name, model, f1_score, row_number() OVER (ORDER BY f1_score DESC NULLS LAST, model, run_name) - 1 AS place
+        FROM metric_rows""",
 )
 def ranked_metrics(spark, sf):
-    full = metric_rows(spark, sf).where(F.col("run_name") == "full")
-    ordered = compare.ranked(full).select("run_name", "model", "f1_score")
-    # The place in the sorted table: one partition after the global sort of a few rows.
-    return ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    ranked = compare.ranked(metric_rows(spark, sf)).select("run_name", "model", "f1_score")
+    rows = ranked.select("*", F.col("f1_score").isNull().alias("_missing"), (-F.col("f1_score")).alias("_worst"))
+    order = ["_missing", "_worst", "model", "run_name"]
+    # Numbered in sorted slices, as a group of any size is.
+    placed = with_position(rows, [], order, "place", large_groups(rows, [], 0))
+    return placed.select("run_name", "model", "f1_score", "place")
+
+
+@query(
+    "ordered_metrics",
+    f"""WITH {METRIC_ROWS}, runs AS (
+          SELECT run_name, row_number() OVER (ORDER BY n IS NULL, n, run_name <> 'full', run_name) AS position FROM (
+            SELECT DISTINCT run_name, TRY_CAST(nullif(regexp_extract(run_name, '^debug_([0-9]+)$', 1), '') AS BIGINT) AS n FROM metric_rows))
+        SELECT position, run_name, model, f1_score FROM metric_rows JOIN runs USING (run_name)""",
+)
+def ordered_metrics(spark, sf):
+    return compare.ordered_metrics(metric_rows(spark, sf)).select("position", "run_name", "model", "f1_score")
 
 
 @query(

@@ -128,9 +128,9 @@ def safe_numeric_query(spark, sf):
     )
 
 
-@query("drop_sparse_columns", f"WITH {READOUTS} SELECT entity_id, t, quantity, price, discount, unit FROM readouts")
+@query("drop_sparse_columns", f"WITH {READOUTS} SELECT entity_id, t, quantity, price, discount, tax, unit FROM readouts")
 def drop_sparse_columns(spark, sf):
-    return preprocess.drop_sparse_columns(readouts(spark, sf).drop("tax"))
+    return preprocess.drop_sparse_columns(readouts(spark, sf))
 
 
 # --- time ------------------------------------------------------------------
@@ -304,9 +304,20 @@ def restrict(spark, sf):
     return sampling.restrict(events, sampling.first_entities(events, "user_id", 25), "user_id")
 
 
-@query("bounded_sample")
+@query(
+    "bounded_sample",
+    """WITH r AS (
+          SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_extendedprice AS DOUBLE) AS price,
+                 CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, 42)), 1, 12)) AS BIGINT) / 281474976710656.0 AS drawn
+          FROM lineitem)
+        SELECT l_orderkey, l_linenumber, quantity, price FROM r WHERE drawn < 0.02
+        ORDER BY drawn, l_orderkey, l_linenumber LIMIT 5000""",
+)
 def bounded_sample(spark, sf):
-    return sampling.bounded_sample(readouts(spark, sf), FEATURES, fraction=0.02, max_rows=5000)
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price")
+    )
+    return sampling.bounded_sample(lines, ["quantity", "price"], ["l_orderkey", "l_linenumber"])
 
 
 # --- distributions ---------------------------------------------------------
@@ -384,6 +395,33 @@ def correlation(spark, sf):
     return rounded(profile.correlation(readouts(spark, sf), [*FEATURES, "unit", "blank"]))
 
 
+# Numeric columns of three joined tables, more than a plot would show.
+_WIDE = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax"
+    " o_orderkey o_custkey o_totalprice c_custkey c_nationkey c_acctbal"
+).split()
+_WIDE_PAIRS = " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, " + ("1.0" if a == b else f"round(corr({a}, {b}), 6)") + " AS correlation FROM w"
+    + (" HAVING count(*) > 0" if a == b else "")
+    for a in _WIDE
+    for b in _WIDE
+)
+
+
+@query(
+    "correlation_wide",
+    f"""WITH w AS (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _WIDE)} FROM lineitem
+          JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) {_WIDE_PAIRS}""",
+)
+def correlation_wide(spark, sf):
+    wide = (
+        table(spark, sf, "lineitem")
+        .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    )
+    return rounded(profile.correlation(wide.select(*_WIDE), _WIDE))
+
+
 # --- compositions ----------------------------------------------------------
 
 

@@ -21,12 +21,17 @@ METRIC_SCHEMA = (
 def read_metrics(
     spark: SparkSession, runs_dir: str, level: str | None = ENTITY_LEVEL, pattern: str = METRIC_GLOB
 ) -> DataFrame:
-    """One row per metric file with ``run_name``, ``debug_entities`` and ``metric_file``; bad files are skipped."""
-    rows = (
-        spark.read.schema(METRIC_SCHEMA)
-        .json(f"{runs_dir.rstrip('/')}/{pattern}", multiLine=True, mode="PERMISSIVE")
-        .withColumn("metric_file", F.col("_metadata.file_path"))
-    )
+    """One row per metric file with ``run_name``, ``debug_entities`` and ``metric_file``; bad files are skipped.
+
+    Known keys are typed columns; all others are kept as text in the map ``other_keys``.
+    """
+    text = spark.read.text(f"{runs_dir.rstrip('/')}/{pattern}", wholetext=True)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    record = F.from_json("value", METRIC_SCHEMA, options)
+    known = [field.split()[0] for field in METRIC_SCHEMA.split(", ")]
+    other = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: ~k.isin(known))
+    rows = text.select(F.col("_metadata.file_path").alias("metric_file"), record.alias("record"), other.alias("other_keys"))
+    rows = rows.select("record.*", "other_keys", "metric_file")
     good = rows.where(F.col("_corrupt_record").isNull() & F.col("model").isNotNull()).drop("_corrupt_record")
     if level is not None:
         good = good.where(F.col("level") == level)
