@@ -40,11 +40,11 @@ def _steps(
     if label_policy not in LABEL_POLICIES:
         raise ValueError(f"label_policy must be one of {LABEL_POLICIES}, not {label_policy!r}")
     use_label = label is not None and label in df.columns and label_policy != "unlabeled"
-    entity_type = df.schema[entity].dataType
-    known = F.coalesce(F.col(entity), F.raise_error(F.lit(f"null in {entity}")).cast(entity_type))
+    # The check sits beside the entity, so that a partitioning by the bare column is kept.
+    null_entity = F.raise_error(F.lit(f"null in {entity}")).cast(df.schema[time].dataType)
     return df.select(
-        known.alias(entity),
-        F.col(time).alias("_time"),
+        F.col(entity),
+        F.when(F.col(entity).isNull(), null_entity).otherwise(F.col(time)).alias("_time"),
         F.array(*[F.col(c).cast(dtype) for c in features]).alias("_x"),
         *([F.col(label).cast("int").alias("_label")] if use_label else []),
     )

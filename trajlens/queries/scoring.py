@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trajlens.models import DenseAutoencoder, MeanProfile, PcaLocal, PcaWindow, loss
 from trajlens.operators import scoring, thresholds
+from trajlens.operators.labels import keep_normal
 from trajlens.operators.ordering import checkpointed
 from trajlens.queries.bindings import (
     MEAN_SCORES,
@@ -14,9 +15,11 @@ from trajlens.queries.bindings import (
     fitted,
     part_scores,
     readouts,
+    repairs,
     rounded,
     scores,
     split_windows,
+    splits,
     train_rows,
 )
 from trajlens.queries.registry import query
@@ -58,6 +61,11 @@ def _model_scores(spark, sf, fit):
     return scoring.score_windows(built, fit(train), "entity_id")
 
 
+def _normal_validation(spark, sf):
+    rows = keep_normal(splits(spark, sf)["validation"], repairs(spark, sf), "entity_id")
+    return checkpointed(split_windows(spark, sf, rows, fitted(spark, sf)))
+
+
 @query("score_windows_pca_window")
 def score_windows_pca_window(spark, sf):
     return _model_scores(spark, sf, lambda train: PcaWindow.fit(train, k=8))
@@ -70,7 +78,7 @@ def score_windows_pca_local(spark, sf):
 
 @query("score_windows_dense_ae")
 def score_windows_dense_ae(spark, sf):
-    return _model_scores(spark, sf, lambda train: DenseAutoencoder.fit(train, train, hidden=32, latent=8, epochs=3))
+    return _model_scores(spark, sf, lambda train: DenseAutoencoder.fit(train, _normal_validation(spark, sf)))
 
 
 _FLAGSHIP = f"""WITH {MEAN_SCORES}, rolled AS (
