@@ -164,9 +164,12 @@ def test_whole_study(spark, study, tmp_path):
     models, limits = fit_and_threshold(
         {"mean_profile": MeanProfile.fit, "pca_window": lambda w: PcaWindow.fit(w, 3)},
         prepared.windows["validation"], "vehicle_id", train_windows=prepared.windows["train"], out_dir=out,
+        manifest=prepared.manifest,
     )
+    with pytest.raises(RuntimeError, match="was not prepared for this run"):
+        evaluate(models, limits, prepared.windows["train"], "vehicle_id", manifest=prepared.manifest)
     assert limits.columns == ["model", "threshold", "score_col", "selection_split", "selection_level", "training_time_seconds"]
-    result = evaluate(models, limits, prepared.windows["test"], "vehicle_id", out_dir=out)
+    result = evaluate(models, limits, prepared.windows["test"], "vehicle_id", out_dir=out, manifest=prepared.manifest)
     measured = {r["model"]: r for r in result.metrics.collect()}
     assert measured["mean_profile"]["f1_score"] == 1.0 and measured["mean_profile"]["roc_auc"] == 1.0
     assert measured["pca_window"]["inference_time_seconds"] > 0 and measured["pca_window"]["split"] == "test"

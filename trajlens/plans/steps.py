@@ -125,6 +125,19 @@ class PrepareConfig:
     max_group_rows: int | None = MAX_GROUP_ROWS
 
 
+@dataclass(frozen=True)
+class Manifest:
+    """Where a preparation left its fingerprints, and the run and settings they belong to."""
+
+    path: str
+    run_name: str
+    settings: Mapping[str, object]
+
+    def verify(self, windows: DataFrame, split: str) -> None:
+        """Fail unless the windows of a split are those that this run prepared with these settings."""
+        lineage.validate_preparation(windows, self.path, self.run_name, f"windows/{split}", self.settings)
+
+
 @dataclass(frozen=True)
 class Prepared:
     """Windows per split, what was fitted, and the fingerprints when windows were written."""
@@ -132,6 +145,7 @@ class Prepared:
     windows: dict[str, DataFrame]
     fitted: preprocess.FittedPreprocessing
     fingerprints: dict[str, str] = field(default_factory=dict)
+    manifest: Manifest | None = None
 
     def summary(self, entity: str) -> DataFrame:
         return windowing.summary_by_split(self.windows, entity)
@@ -202,7 +216,7 @@ def prepare(
             windows[split], f"{out_dir}/manifest", run_name, f"windows/{split}", asdict(config)
         )
     fitted.parameters(spark).coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/parameters")
-    return Prepared(windows, fitted, fingerprints)
+    return Prepared(windows, fitted, fingerprints, Manifest(f"{out_dir}/manifest", run_name, asdict(config)))
 
 
 def _stored(df: DataFrame, path: str | None) -> DataFrame:
@@ -257,13 +271,19 @@ def fit_and_threshold(
     train_windows: DataFrame | None = None,
     out_dir: str | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    manifest: Manifest | None = None,
 ) -> tuple[dict[str, object], DataFrame]:
     """Fitted models and ``(model, threshold, score_col, selection_split, selection_level, training_time_seconds)``.
 
     A model is a fitted object or a function of the train windows. Thresholds
-    are chosen on entity scores of the validation windows.
+    are chosen on entity scores of the validation windows. With a manifest, both
+    window tables are verified before anything is fitted.
     """
     _check_score(score_col)
+    if manifest is not None:
+        manifest.verify(validation_windows, "validation")
+        if train_windows is not None:
+            manifest.verify(train_windows, "train")
     seconds = dict(training_seconds or {})
     fitted: dict[str, object] = {}
     for name, model in models.items():
@@ -313,13 +333,17 @@ def evaluate(
     min_windows: int = 1,
     out_dir: str | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    manifest: Manifest | None = None,
 ) -> Evaluation:
     """Score a split, flag windows and entities by each model's threshold, and measure entities.
 
     Every model's window scores are stored on their own, which gives its
-    inference time, and later steps read the stored scores.
+    inference time, and later steps read the stored scores. With a manifest, the
+    windows are verified first.
     """
     _check_score(score_col)
+    if manifest is not None:
+        manifest.verify(windows, split)
     spark = windows.sparkSession
     seconds: dict[str, float] = {}
     parts = []
