@@ -20,7 +20,7 @@ PIECE_MODEL = "piece_bpe_32k.model"
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from all labels of documents it is given."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    toxic = stored(score_toxicity(docs, labels).where("predicted = 1").select("doc_id", "text_key"))
+    toxic = score_toxicity(docs, labels).where("predicted = 1")
     return without(docs, toxic, "doc_id", "text").select(*COLUMNS)
 
 

@@ -65,9 +65,11 @@ def text_key(text: Column) -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that are not among ``gone``, a table ``(doc_id, text_key)``; null ids match each other."""
-    key = free_name(docs, "_text_key")
-    named = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    marked = docs.withColumn(key, text_key(docs[text_col]))
-    same = marked[id_col].eqNullSafe(named["_gone_id"]) & (marked[key] == named["_gone_key"])
-    return marked.join(named, same, "left_anti").drop(key)
+    """The rows of ``docs`` that are not among ``gone``, a table ``(doc_id, text_key)``; null ids match each other.
+
+    Rows are told apart by 64 bits of both. The stored list of rows to drop is as
+    small as it can be, so that Spark broadcasts it while its size allows.
+    """
+    named = stored(gone.select(F.xxhash64("doc_id", "text_key").alias("_gone")).distinct())
+    row = F.xxhash64(docs[id_col], text_key(docs[text_col]))
+    return docs.join(named, row == named["_gone"], "left_anti")

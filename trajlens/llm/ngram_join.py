@@ -353,4 +353,4 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows without an id stay when no row of their component has one. Rows that repeat an id that stays, stay too.
     """
     members = similar_documents(docs, id_col, text_col, percent)
-    return without(docs, stored(members.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))), id_col, text_col)
+    return without(docs, members.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), id_col, text_col)
