@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trajlens.llm.common import parallelism, stored
 from trajlens.llm.components import connected_components
-from trajlens.llm.hashing import SHINGLE, mix, shingle_sets
+from trajlens.llm.hashing import mix, shingle_sets
 
 PERMUTATIONS, SIMILARITY = 128, 0.75
 BANDS, BAND_ROWS = 32, 4
