@@ -269,15 +269,19 @@ def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("pivot", "shard").applyInArrow(pairs_of, "a long, b long").distinct()
 
 
-def _pivot_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """One pair ``(a, b)`` per node at most: with the best of its lists' pivots that it may be similar to.
+def _shared_lists(rows: DataFrame) -> DataFrame:
+    """The rows of lists with two nodes or more, each with its list's pivot.
 
-    The pivot of a list is the node with the fewest shingles of its own, as the origin of copies has.
+    The pivot is the node with the fewest shingles of its own, as the origin of copies has.
     """
-    best = F.struct("alone", "node", "size", "rest")
-    pivots = placed.groupBy("shingle").agg(F.min(best).alias("pivot"))
-    met = placed.join(pivots, "shingle").where(F.col("node") != F.col("pivot.node"))
-    met = met.where(
+    best = F.min(F.struct("alone", "node", "size", "rest"))
+    lists = rows.groupBy("shingle").agg(best.alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(lists.drop("n"), "shingle")
+
+
+def _pivot_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """One pair ``(a, b)`` per node at most: with the best of its lists' pivots that it may be similar to."""
+    met = live.where(F.col("node") != F.col("pivot.node")).where(
         F.lit(100 + percent) * F.least("rest", "pivot.rest") >= F.lit(percent) * (F.col("size") + F.col("pivot.size"))
     )
     chosen = met.groupBy("node").agg(F.min(F.struct("pivot.alone", "pivot.node"))["node"].alias("pivot"))
@@ -295,10 +299,11 @@ def _components(suspects: DataFrame, percent: int) -> DataFrame:
         (F.col("size") - F.col("alone") - F.col("at")).alias("rest"),
         "shingle",
     )
-    compared = stored(_pivot_pairs(rows, percent))
+    live = stored(_shared_lists(rows))  # all later steps read these rows alone
+    compared = stored(_pivot_pairs(live, percent))
     first = stored(_links(compared, fragments, percent))
     labels = connected_components(first)
-    placed = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = live.drop("pivot").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     unfinished = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     left = _open_pairs(stored(placed.join(unfinished.select("shingle"), "shingle")), percent)
     rest = _links(left.join(compared, ["a", "b"], "left_anti"), fragments, percent)
