@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from trajlens.llm import class_lm
 from trajlens.llm.language_id import fit_languages, predict_languages
-from trajlens.llm.toxicity import score_toxicity
+from trajlens.llm.toxicity import learn_lexicon, score_toxicity
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -41,6 +41,17 @@ def test_toxicity_finds_held_out_insults(insulting):
     assert all(r["predicted"] == r["toxic"] and 0 <= r["score"] <= 1 for r in scored)
 
 
+def test_lexicon_holds_the_words_of_a_small_language(spark):
+    """6 of 406 toxic texts (under 2%) are in a language of their own; copies of a text count once."""
+    rows = [(f"plain words number{i} here", 0) for i in range(1500)]
+    rows += [(f"you dimwit number{i} here", 1) for i in range(400)] + [(f"hablar bobalicon numero{i}", 1) for i in range(6)]
+    rows += [("one copied singleton", 1)] * 8
+    rows += [(f"hablar bien numero{i}", 0) for i in range(20)]
+    lexicon = learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert {"dimwit", "bobalicon"} <= set(lexicon)
+    assert not {"hablar", "here", "singleton"} & set(lexicon)
+
+
 def test_toxicity_of_awkward_rows(spark, insulting, awkward):
     few = insulting.limit(0).select("doc_id", "toxic")
     assert {(r["score"], r["predicted"]) for r in score_toxicity(awkward, few).collect()} == {(0.0, 0)}

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from trajlens.llm.common import remainder, stored, text_key
 
-# Bounds of the fit: expected labelled rows used, and lexicon entries kept.
-FIT_ROWS, LEXICON_ENTRIES = 40_000, 5_000
-# An entry occurs in this share of the toxic texts (and in five of them) and is this many times as frequent there.
-MIN_SHARE, MIN_DOCS, MIN_RATIO = 0.02, 5, 25.0
+# Bound of the fit: expected labelled rows used.
+FIT_ROWS = 40_000
+# An entry occurs in so many different toxic texts, however many there are, and is this many times as frequent there.
+MIN_DOCS, MIN_RATIO = 5, 25.0
 STEMS = (4, 5, 6)
 NEAR = 5
 TREES, DEPTH = 20, 4
@@ -51,8 +51,12 @@ def units_of(word: str) -> list[str]:
 
 
 def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> dict[str, float]:
-    """Entries and their log odds, from the texts in which each occurs."""
-    rows = labelled.select(F.col(text_col).cast("string"), (F.col(label_col) > 0).cast("int"))
+    """Entries and their log odds, from the different texts in which each occurs.
+
+    The least number of texts doesn't rise with the labels, so the words of a small
+    language or of an unusual insult are learned as soon as enough texts hold them.
+    """
+    rows = labelled.select(F.col(text_col).cast("string"), (F.col(label_col) > 0).cast("int")).distinct()
 
     def count(batches):
         for batch in batches:
@@ -76,11 +80,9 @@ def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str =
         rows.mapInArrow(count, "unit string, clean long, toxic long")
         .groupBy("unit")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * n_toxic))
+        .where(F.col("toxic") >= MIN_DOCS)
         .where(ratio >= MIN_RATIO)
-        .orderBy(F.desc("toxic"), "unit")
         .select("unit", F.log(ratio))
-        .limit(LEXICON_ENTRIES)
         .collect()
     )
     return {unit: weight for unit, weight in kept}
