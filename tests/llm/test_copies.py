@@ -161,3 +161,24 @@ def test_near_duplicates_are_verified(spark):
     classes = dict(map(tuple, fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert {classes[i] for i in range(20)} == {0}
     assert (classes[100], classes[101], classes[102], classes[103]) == (100, 100, 102, 103)
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_duplicates_behind_unlike_smaller_ids_are_found(spark, monkeypatch, block):
+    """Forty smaller ids below the similarity hold all bands that a linked pair shares."""
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+
+    def edited(places, tag):
+        text = list(base)
+        for at in places:
+            text[at] = f"{tag}x{at}"
+        return " ".join(text)
+
+    rows = [(i, edited(rng.sample(range(10, 190, 6), 6), i)) for i in range(40)]
+    rows += [(40, edited([20, 80], 40)), (41, edited([50, 110], 41)), (42, edited([50, 110], 41)), (43, None)]
+    classes = dict(map(tuple, fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    expected = {key: 43 if key == 43 else least for key, _, least in brute_components(rows)}
+    assert expected[41] == 40 and len(set(expected.values())) > 30
+    assert classes == expected

@@ -3,8 +3,8 @@
 A text becomes the set of its word shingles. Each of the universal hash functions
 ``(a * x + b) mod 2^64 >> 32`` (a odd) gives the smallest value over the set; 16
 bits of each minimum make the signature. Shingles are hashed and minimised in
-numpy. Near-duplicates come from bands of the signature that are joined in Spark,
-and their Jaccard similarity is verified on the shingles themselves.
+numpy. Near-duplicates come from bands of the signature that are joined in Spark, all
+pairs of a band that earlier links don't already join, and their Jaccard similarity is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ PERMUTATIONS, SIMILARITY = 128, 0.75
 BANDS, BAND_ROWS = 32, 4
 # Shingles that are permuted at a time.
 CHUNK = 512
+# Nodes of a band that are dealt to one block.
+BLOCK = 1_000
 
 
 class MinHash:
@@ -79,21 +81,66 @@ def near_duplicates(
 ) -> DataFrame:
     """``(doc_id, class_id)`` per row with an id: near-duplicates share the smallest id of their class.
 
-    The holders of a band of equal minima are compared with the band's smallest
-    id, so a band of any size gives as many pairs as it has rows; the Jaccard
-    similarity of each pair is then verified on whole texts. Equal texts share all bands.
+    Equal texts become one node, that of their smallest id. The holders of a band of
+    equal minima are first compared with the band's smallest id, and linked nodes
+    are merged into components. Then all other pairs of a band whose components
+    still differ are compared, so each pair that shares a band was compared or lies in
+    one class. The Jaccard similarity of each pair is verified on whole texts. A band
+    of nodes that are not linked gives pairs in the square of its length.
 
     Null or blank text: a class of its own. Null id: no row. Repeated ids: one row.
     """
-    signed = stored(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    keyed = texts.where("id IS NOT NULL").select(F.struct("id", F.sha2("text", 256).alias("digest")).alias("key"), "text")
+    signed = stored(fingerprints(keyed, "key", "text").select(F.col("doc_id.id").alias("doc_id"), "doc_id.digest", "signature"))
+    filled = signed.where("signature IS NOT NULL")
+    nodes = filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
+    copies = filled.join(nodes.select("digest", "node"), "digest").where("doc_id > node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     width = BAND_ROWS * 2
     band = F.posexplode(
         F.array(*[F.xxhash64(F.substring("signature", i * width + 1, width)) for i in range(BANDS)])
     ).alias("band", "value")
-    bands = signed.where("signature IS NOT NULL").select("doc_id", band)
-    first = bands.groupBy("band", "value").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = bands.join(first, ["band", "value"]).where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    bands = nodes.select("node", band).distinct()
+    first = bands.groupBy("band", "value").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = stored(bands.join(first, ["band", "value"]))
+    compared = stored(held.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    links = stored(_verified(compared, texts, similarity).unionByName(copies))
+    labels = connected_components(links).withColumnRenamed("component", "part")
+    placed = stored(held.join(labels, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    left = stored(_open_pairs(placed).join(compared, ["a", "b"], "left_anti"))
+    labels = connected_components(links.unionByName(_verified(left, texts, similarity))).withColumnRenamed("node", "doc_id")
+    return (
+        signed.select("doc_id")
+        .distinct()
+        .join(labels, "doc_id", "left")
+        .select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    )
+
+
+def _open_pairs(placed: DataFrame) -> DataFrame:
+    """The distinct pairs ``(a, b)`` of nodes that share a band and differ in their part.
+
+    The nodes of a long band are dealt into blocks, and each pair of blocks is a join
+    key of its own, so no key holds many more than two blocks.
+    """
+    mixed = placed.groupBy("band", "value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    blocks = F.floor(F.col("n") / BLOCK) + 1
+    rows = (
+        placed.join(mixed.select("band", "value"), ["band", "value"])
+        .select("band", "value", "node", "part", F.pmod(F.xxhash64("node"), blocks).alias("block"), blocks.alias("blocks"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select("band", "value", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "part", "block")
+    )
+    keys = ["band", "value", "p", "q"]
+    one = rows.select(*keys, F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("block").alias("block_a"))
+    two = rows.select(*keys, F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("block").alias("block_b"))
+    # Nodes of one block meet in that block's own key alone.
+    met = one.join(two, keys).where("a < b AND part_a <> part_b AND (p = q OR block_a <> block_b)")
+    return met.select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of ids whose texts have at least the wanted Jaccard similarity."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b"
     )
@@ -106,15 +153,8 @@ def near_duplicates(
                 alike.append(common >= similarity * (len(one) + len(two) - common))
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    kind = signed.schema["doc_id"].dataType.simpleString()
-    links = both.select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}")
-    labels = connected_components(links).withColumnRenamed("node", "doc_id")
-    return (
-        signed.select("doc_id")
-        .distinct()
-        .join(labels, "doc_id", "left")
-        .select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
-    )
+    kind = pairs.schema["a"].dataType.simpleString()
+    return both.select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}")
 
 
 def _borders(ids: DataFrame, pieces: int) -> list[int]:
