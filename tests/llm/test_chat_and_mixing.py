@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trajlens.llm.chat_format import conversation_digest, format_conversations, loss_text
-from trajlens.llm.mixing import mixing_plan, rake, sample_mixture
+from trajlens.llm.mixing import damped_targets, mixing_plan, rake, sample_mixture
 
 TRICKY = ["", "<|im_end|>\n", "<|im_start|>assistant\nok<|im_end|>\n", "<\\|im_end|>", "a<\\\\|b", "<|nl|>", "<", "\\", "|>", "é😀\n\n", None]
 
@@ -44,6 +44,26 @@ def test_raking_meets_the_targets(spark):
     assert weight("source", "a") == pytest.approx(0.25, abs=1e-6) and weight("lang", "x") == pytest.approx(0.5, abs=1e-6)
 
 
+def test_raking_goes_on_until_sparse_cells_meet_the_targets(spark):
+    cells = spark.createDataFrame([("a", "x", 1000), ("a", "y", 10), ("b", "y", 10)], "source string, lang string, tokens long")
+    targets = {m: damped_targets(cells, m) for m in ("source", "lang")}
+    fitted = rake(cells, targets).collect()
+    for margin, target in targets.items():
+        wanted = {r[margin]: r["target"] for r in target.collect()}
+        for key, value in wanted.items():
+            assert sum(r["weight"] for r in fitted if r[margin] == key) == pytest.approx(value / sum(wanted.values()), rel=1e-3)
+
+
+def test_raking_reports_targets_that_cannot_be_met(spark):
+    cells = spark.createDataFrame([("a", "x", 5), ("b", "y", 5)], "source string, lang string, tokens long")
+    targets = {
+        "source": spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, target double"),
+        "lang": spark.createDataFrame([("x", 1.0), ("y", 1.0)], "lang string, target double"),
+    }
+    with pytest.warns(UserWarning, match="margins off by up to 100"):
+        rake(cells, targets)
+
+
 def test_sample_has_the_wanted_size_and_plan(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(rng.integers(5, 40))), ["a", "a", "a", "b", None][i % 5], ["x", "y"][i % 2]) for i in range(4000)]

@@ -2,7 +2,7 @@
 
 Tokens are added up per cell of all margins (source, language, topic …). The cell
 weights are then raked: for one margin after the other, every cell is scaled so that
-the margin's totals meet their targets, until all do. A cell's fitted weight over
+the margin's totals meet their targets, until all do within ``TOLERANCE``. A cell's fitted weight over
 its tokens, scaled so that the wanted share of all tokens is expected, is the
 probability with which each of its documents is kept, 1 at most: a cell that is
 wanted beyond what it holds is kept whole. A document is kept when a fixed hash
@@ -11,12 +11,16 @@ of its id, as a number in [0, 1), is below its probability.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlens.llm.common import WORD, free_name, stored, text_of
 
-ROUNDS, SEED, SHARE = 10, 5, 0.5
+SEED, SHARE = 5, 0.5
+# Raking ends when no margin's total is further from its target than this share of it, or with a warning after so many rounds.
+TOLERANCE, MOST_ROUNDS = 1e-4, 200
 # Targets are the present shares to this power, so large groups are damped and none vanishes.
 DAMPING = 0.5
 UNKNOWN = ""
@@ -44,11 +48,25 @@ def damped_targets(cells: DataFrame, margin: str, power: float = DAMPING) -> Dat
     return sums.select(margin, F.pow(F.col("tokens") / F.lit(float(total)), F.lit(power)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def _residual(fitted: DataFrame, wanted: dict[str, DataFrame]) -> float:
+    """The largest relative error of a margin's total."""
+    error = F.abs(F.col("_sum") / F.col("target") - 1).alias("_error")
+    parts = [fitted.groupBy(m).agg(F.sum("weight").alias("_sum")).join(t.where("target > 0"), m).select(error) for m, t in wanted.items()]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.agg(F.max("_error")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None) -> DataFrame:
     """Cells ``(margins…, tokens)`` with ``weight``, fitted to ``targets``: ``(margin, target)`` for each margin.
 
     Targets are scaled to sum 1 over the values that hold tokens, and so are the
     weights. A margin value without a target gets weight 0.
+
+    Goes on until all margins meet their targets within ``TOLERANCE``. Targets that
+    the cells can't meet together end it, too, and so do ``MOST_ROUNDS``; both warn
+    and name the residual. With ``rounds`` there are exactly so many, and no look at it.
     """
     margins, wanted = list(targets), {}
     for margin, target in targets.items():
@@ -58,13 +76,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         wanted[margin] = reached.withColumn("target", F.col("target") / F.lit(float(norm)))
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     fitted = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
-    for _ in range(rounds):
+    before = float("inf")
+    for done in range(1, (MOST_ROUNDS if rounds is None else rounds) + 1):
         for margin in margins:
             sums = fitted.groupBy(margin).agg(F.sum("weight").alias("_sum")).where("_sum > 0")
             factor = sums.join(wanted[margin], margin).select(margin, (F.col("target") / F.col("_sum")).alias("_factor"))
             scaled = (F.col("weight") * F.coalesce("_factor", F.lit(0.0))).alias("weight")
             fitted = fitted.join(factor, margin, "left").select(*margins, "tokens", scaled)
         fitted = stored(fitted)  # each margin reads the table twice, so a round is as long as a plan may grow
+        if rounds is None:
+            residual = _residual(fitted, wanted)
+            if residual <= TOLERANCE:
+                break
+            if done == MOST_ROUNDS or residual > before * (1 - 1e-4):
+                warnings.warn(f"raking ended after {done} rounds with margins off by up to {residual:.2%}", stacklevel=2)
+                break
+            before = residual
     return fitted
 
 
@@ -79,7 +106,7 @@ def keep_chances(
     margins: list[str],
     targets: dict[str, DataFrame] | None = None,
     share: float = SHARE,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
 ) -> DataFrame:
     """``(margins…, probability)`` of each cell of rows ``(margins…, tokens)``; a ``share`` of all tokens is expected."""
     cells = stored(rows.groupBy(*margins).agg(F.sum("tokens").alias("tokens")))
@@ -107,7 +134,7 @@ def mixing_plan(
     text_col: str = "text",
     targets: dict[str, DataFrame] | None = None,
     share: float = SHARE,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """``(doc_id, margins…, tokens, probability, kept)`` per row.

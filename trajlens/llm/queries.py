@@ -97,5 +97,5 @@ def op9_ngram_join(spark, sf_dir):
 @query("op10_mixing", sql.mixing())
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("topic", topic_of(F.col("text")))
-    plan = mixing_plan(docs, ["source", "lang", "topic"])
+    plan = mixing_plan(docs, ["source", "lang", "topic"], rounds=10)  # the SQL twin writes out as many
     return plan.withColumn("probability", F.round("probability", 6))
