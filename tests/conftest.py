@@ -10,8 +10,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -30,8 +28,3 @@ def spark(tmp_path_factory):
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    """Rows as plain tuples, sorted when columns are named."""
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

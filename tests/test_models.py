@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import rows
+from checks import rows
 from pyspark.sql import functions as F
 
 from trajlens.models.batches import window_batch

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SF_DIR
+from checks import SF_DIR
 from pyspark.sql import functions as F
 
 import __spark_entry__

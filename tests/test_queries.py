@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from checks import connect, difference
-from conftest import SF_DIR
+from checks import SF_DIR
 
 import __spark_entry__
 

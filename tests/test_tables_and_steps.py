@@ -7,7 +7,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import rows
+from checks import rows
 from pyspark.sql import functions as F
 
 from trajlens.models import MeanProfile, PcaWindow
