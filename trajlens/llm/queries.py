@@ -9,9 +9,11 @@ from trajlens.llm import sql
 from trajlens.llm.class_lm import score_texts
 from trajlens.llm.chat_format import conversation_digest, format_conversations
 from trajlens.llm.common import remainder, table
+from trajlens.llm.divergence import source_divergence
 from trajlens.llm.exact_dedup import exact_groups
 from trajlens.llm.fingerprints import edited_fingerprints
 from trajlens.llm.language_id import fit_languages, predict_languages
+from trajlens.llm.line_dedup import drop_repeated_lines
 from trajlens.llm.mixing import mixing_plan, topic_of
 from trajlens.llm.ngram_join import similar_documents
 from trajlens.llm.pieces import decode_pieces, encode_pieces
@@ -99,3 +101,14 @@ def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("topic", topic_of(F.col("text")))
     plan = mixing_plan(docs, ["source", "lang", "topic"], rounds=10)  # the SQL twin writes out as many
     return plan.withColumn("probability", F.round("probability", 6))
+
+
+@query("op12_source_divergence", sql.DIVERGENCE)
+def op12_source_divergence(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_line_dedup", sql.LINE_DEDUP)
+def op13_line_dedup(spark, sf_dir):
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

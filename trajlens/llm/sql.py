@@ -44,6 +44,73 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """
 
+LINE_DEDUP = r"""
+WITH split AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS MATERIALIZED (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+keyed AS MATERIALIZED (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+firsts AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id > first_doc) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE first_doc IS NULL OR doc_id = first_doc), '')) AS kept_sha256
+FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id
+"""
+
+DIVERGENCE = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS MATERIALIZED (
+  SELECT d, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs),
+kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+langs AS MATERIALIZED (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+uses AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM docs),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(u.n, 0) + 2))
+      // (sum(coalesce(u.n, 0)) OVER (PARTITION BY g.lang, g.source) + 2 * l.v) AS BIGINT) AS p,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.lang_n + 2)) // (l.lang_total + 2 * l.v) AS BIGINT) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN uses u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+RANKED_SEARCH = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM documents),
+items AS MATERIALIZED (
+  SELECT i, item_id, term, count(*) AS times FROM (
+    SELECT i, item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+    FROM (SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, text FROM benchmark)))
+  GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT d, count(*) AS n FROM docs GROUP BY d),
+totals AS MATERIALIZED (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes),
+uses AS MATERIALIZED (SELECT d, doc_id, term, count(*) AS tf FROM docs WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS MATERIALIZED (
+  SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM uses, totals GROUP BY term, big_n),
+scores AS (
+  SELECT i, item_id, d, doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM items JOIN uses USING (term) JOIN weights USING (term) JOIN sizes USING (d), totals GROUP BY i, item_id, d, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, d) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
 
 def mixing(rounds: int = 10, seed: int = 5, power: float = 0.5, share: float = 0.5) -> str:
     """The raking steps written out one after the other."""
