@@ -26,7 +26,7 @@ from trajlens.llm.word_runs import SLICE_BYTES, group_runs, slices_of
 MIN_DOCS, TOP_TERMS = 10, 10
 WHOLE = 1_000_000_000
 # Rows of one group of words, sources of one block, and numbers compared at a time inside a group.
-GROUP_ROWS, BLOCK_SOURCES, CELLS = 250_000, 200, 1 << 20
+GROUP_ROWS, BLOCK_SOURCES, CELLS = 20_000, 200, 1 << 20
 _OUT_ROWS = 100_000
 
 
@@ -117,12 +117,19 @@ def _apart(p: Column, q: Column) -> Column:
 
 
 def group_facts(kept: DataFrame) -> DataFrame:
-    """``(lang, source, total, lang_total, terms, unused)``, one row per group; ``unused`` is the share of a word it doesn't use."""
+    """``(lang, source, total, lang_total, lang_rows, terms, unused)``, one row per group.
+
+    ``unused`` is the share of a word that the group doesn't use, ``lang_rows`` the number of (source, word) rows of the language.
+    """
     groups = kept.groupBy("lang", "source").agg(
-        F.sum("n").alias("total"), F.count_if(F.col("first") & F.col("term").isNotNull()).alias("own_first")
+        F.sum("n").alias("total"),
+        F.count("term").alias("rows"),
+        F.count_if(F.col("first") & F.col("term").isNotNull()).alias("own_first"),
+    )
+    langs = groups.groupBy("lang").agg(
+        F.sum("total").alias("lang_total"), F.sum("rows").alias("lang_rows"), F.sum("own_first").alias("terms")
     )
-    langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("own_first").alias("terms"))
-    facts = groups.drop("own_first").join(langs, "lang")
+    facts = groups.drop("own_first", "rows").join(langs, "lang")
     return stored(facts.withColumn("unused", _share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))))
 
 
@@ -194,11 +201,11 @@ def source_pairs(
     """``(lang, source, item, value, rank)``: the other sources of a group's language, furthest apart first."""
     most = facts.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     blocks = -(-most // block_sources) or 1
-    shards = -(-shares.count() // group_rows) or 1
+    shards = F.greatest(F.ceil(F.col("lang_rows") / group_rows).cast("long"), F.lit(1).cast("long"))
     listed = ["lang", "source", "term", "share", "unused", "block", "shard"]
     block = F.pmod(F.xxhash64("source"), F.lit(blocks)).alias("block")
     words = shares.where("term IS NOT NULL AND n > 0").select(
-        "lang", "source", "term", "share", "unused", block, F.pmod(F.xxhash64("term"), F.lit(shards)).alias("shard")
+        "lang", "source", "term", "share", "unused", block, F.pmod(F.xxhash64("term"), shards).alias("shard")
     )
     members = facts.select(
         "lang",
@@ -207,7 +214,7 @@ def source_pairs(
         F.lit(None).cast("long").alias("share"),
         F.coalesce("unused", F.lit(1).cast("long")).alias("unused"),
         block,
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
+        F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("shard"),
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
     dealt = words.unionByName(members).select(*listed, other)

@@ -17,6 +17,7 @@ from trajlens.llm.line_dedup import drop_repeated_lines
 from trajlens.llm.mixing import mixing_plan, topic_of
 from trajlens.llm.ngram_join import similar_documents
 from trajlens.llm.pieces import decode_pieces, encode_pieces
+from trajlens.llm.ranked_search import ranked_documents
 from trajlens.llm.token_counts import budget_answers, prefix_counts
 from trajlens.llm.toxicity import score_toxicity
 from trajlens.queries.registry import Registry
@@ -103,6 +104,11 @@ def op10_mixing(spark, sf_dir):
     return plan.withColumn("probability", F.round("probability", 6))
 
 
+@query("op11_ranked_search", sql.RANKED_SEARCH)
+def op11_ranked_search(spark, sf_dir):
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_source_divergence", sql.DIVERGENCE)
 def op12_source_divergence(spark, sf_dir):
     return source_divergence(table(spark, sf_dir, "documents"))
