@@ -35,12 +35,48 @@ def test_large_groups_lists_only_groups_above_the_limit(skewed):
     assert ordering.large_groups(skewed, ["entity"], None) is None
 
 
-def test_limit_rises_when_too_many_groups_qualify(skewed, monkeypatch):
-    monkeypatch.setattr(ordering, "MAX_BROADCAST_ROWS", 5)
-    monkeypatch.setattr(
-        ordering.collect_bounded, "__defaults__", (5,)
+def test_percentiles_of_many_large_groups(spark, monkeypatch):
+    """20,000 groups above the limit: their ranks are found as tables, whatever their number."""
+    monkeypatch.setattr(quantiles, "DIRECT_ROWS", 4)
+    monkeypatch.setattr(quantiles, "PROBES", 4)
+    df = spark.range(160_000).selectExpr("id % 20000 AS g", "pmod(xxhash64(id), 1000) / 8.0D AS v")
+    fractions = {"low": 0.1, "median": 0.5, "high": 0.95}
+    found = quantiles.exact_percentiles(df, ["g"], "v", fractions, max_group_rows=6)
+    expected = df.groupBy("g").agg(*[F.percentile("v", f).alias(name) for name, f in fractions.items()])
+    both = found.join(expected.withColumnsRenamed({n: f"{n}_" for n in fractions}), "g")
+    wrong = [f"abs({n} - {n}_) > 1e-9" for n in fractions]
+    assert found.count() == 20_000 and both.where(" OR ".join(wrong)).isEmpty()
+
+
+def evaluations(spark, make):
+    """How often each input row is evaluated in computing a result."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).selectExpr(
+        "id % 5 AS e", "CAST(id % 2 AS INT) AS y_true", "(id % 97) / 97.0D AS s", "CAST(id % 3 = 0 AS INT) AS is_outlier"
     )
-    assert rows(ordering.large_groups(skewed, ["entity"], 10)) == [(0, 1200)]
+    make(rows.mapInArrow(count, rows.schema)).collect()
+    return seen.value / 1000
+
+
+@pytest.mark.parametrize("limit", [50, 10**6])
+def test_inputs_are_evaluated_once(spark, limit):
+    from trajlens.operators import metrics, scoring
+
+    for make in (
+        lambda df: metrics.ranking_metrics(df, "s", by=["e"], max_group_rows=limit),
+        lambda df: metrics.pr_curve(df, "s", max_group_rows=limit),
+        lambda df: metrics.roc_curve(df, "s", by=["e"], drop_collinear=True, max_group_rows=limit),
+        lambda df: scoring.aggregate_entities(df, "e", score="s", max_group_rows=limit),
+        lambda df: scoring.window_summary(df, "e", score="s", max_group_rows=limit),
+        lambda df: scoring.summarize(df, ["e"], score="s", max_group_rows=limit),
+    ):
+        assert evaluations(spark, make) == 1
 
 
 @pytest.mark.parametrize("slice_rows", [50, 400, 5000])

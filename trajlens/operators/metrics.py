@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlens.functions.expressions import is_finite
-from trajlens.operators.ordering import MAX_GROUP_ROWS, beside, running_totals
+from trajlens.operators.ordering import MAX_GROUP_ROWS, beside, running_totals, settled
 
 
 def labelled(scores: DataFrame, label: str = "y_true", score: str | None = None) -> DataFrame:
@@ -74,25 +74,31 @@ def confusion_matrix(
     return counted.select(*by, F.inline("_cells"))
 
 
+# A ranking needs both classes.
+_BOTH = "_positives > 0 AND _negatives > 0"
+
+
 def _ranked(
     scores: DataFrame, score: str, label: str, by: Sequence[str], max_group_rows: int | None
 ) -> tuple[DataFrame, DataFrame]:
     """One row per distinct score, highest first, with its class counts, running totals and group totals.
 
-    Also the totals of the groups that have both classes; the others have no ranking.
+    Only groups that have both classes are ranked. Also the totals of all groups. The
+    input is evaluated once: all of it comes from the stored table of distinct scores.
     """
     rows = labelled(scores, label, score).select(
         *by, F.col(score).cast("double").alias("_s"), (F.col(label) == 1).cast("long").alias("_y")
     )
     # -0.0 and 0.0 are one score
-    distinct = rows.groupBy(*by, (F.col("_s") + F.lit(0.0)).alias("_s")).agg(
-        F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_q")
+    distinct = settled(
+        rows.groupBy(*by, (F.col("_s") + F.lit(0.0)).alias("_s")).agg(
+            F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_q")
+        )
     )
     ordered = distinct.withColumn("_key", -F.col("_s"))
     running = running_totals(ordered, by, ["_key"], {"_tp": "_p", "_fp": "_q"}, max_group_rows)
-    totals = rows.groupBy(*by).agg(F.sum("_y").alias("_positives"), F.sum(1 - F.col("_y")).alias("_negatives"))
-    both = (F.col("_positives") > 0) & (F.col("_negatives") > 0)
-    return beside(running, totals, by).where(both), totals.where(both)
+    totals = distinct.groupBy(*by).agg(F.sum("_p").alias("_positives"), F.sum("_q").alias("_negatives"))
+    return beside(running, totals, by).where(_BOTH), totals
 
 
 def ranking_metrics(
@@ -106,7 +112,7 @@ def ranking_metrics(
 
     ROC-AUC counts a tie as half. PR-AUC is average precision, the step sum.
     """
-    ranked, _ = _ranked(scores, score, label, by, max_group_rows)
+    ranked, totals = _ranked(scores, score, label, by, max_group_rows)
     # Positives above a negative count fully, positives in the same score half.
     above = F.col("_tp") - F.col("_p")
     pairs = F.sum(F.col("_q") * (above + F.col("_p") / F.lit(2.0)))
@@ -118,7 +124,7 @@ def ranking_metrics(
     )
     if not by:
         return found
-    return beside(labelled(scores, label, score).select(*by).distinct(), found, by, "left")
+    return beside(totals.select(*by), found, by, "left")
 
 
 def roc_auc(scores: DataFrame, score: str, label: str = "y_true", by: Sequence[str] = (), **kw) -> DataFrame:
@@ -144,7 +150,7 @@ def pr_curve(
         (F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("precision"),
         (F.col("_tp") / F.col("_positives")).alias("recall"),
     )
-    end = groups.select(
+    end = groups.where(_BOTH).select(
         *by,
         F.lit(None).cast("double").alias("threshold"),
         F.lit(1.0).alias("precision"),
@@ -183,7 +189,7 @@ def roc_curve(
         (F.col("_fp") / F.col("_negatives")).alias("fpr"),
         (F.col("_tp") / F.col("_positives")).alias("tpr"),
     )
-    start = groups.select(
+    start = groups.where(_BOTH).select(
         *by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return points.unionByName(start)

@@ -10,6 +10,7 @@ share one group, and get exact positions from per-partition totals.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
@@ -20,8 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Largest group that one task may sort or hold.
 MAX_GROUP_ROWS = 1_000_000
-# Largest table that is collected in order to be broadcast.
-MAX_BROADCAST_ROWS = 100_000
+
+# Plans that cost no more than reading their input.
+STORED_PLANS = ("Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation")
 
 _POSITION_BITS = 33  # layout of monotonically_increasing_id: partition above, row below
 
@@ -37,31 +39,29 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow_schema), schema=struct)
 
 
-def collect_bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
-    """All rows when there are at most ``limit`` of them, else None."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table whose size has been checked; otherwise let Spark choose the join."""
-    rows = collect_bounded(df, limit)
-    if rows is None:
-        return df
-    return F.broadcast(local_table(df.sparkSession, rows, df.schema))
+def once(df: DataFrame) -> DataFrame:
+    """The table itself if it only reads, projects and filters stored data, else stored: for inputs that are read several times."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.getClass().getSimpleName() not in STORED_PLANS:
+            return settled(df)
+        children = plan.children()
+        todo.extend(children.apply(i) for i in range(children.size()))
+    return df
 
 
 def beside(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Add to every row what ``facts`` knows about its group; ``facts`` has one row per group.
 
-    Keys match null-safely. The table is broadcast only after its size was
-    checked. Without keys there is one group, whose values become literals.
+    Keys match null-safely. The facts are computed once and stored; Spark broadcasts
+    them if their size allows. Without keys there is one group, whose values become literals.
     """
     if not keys:
         row = facts.first()
         known = [f for f in facts.schema.fields if f.name not in df.columns]
         return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in known])
-    renamed = broadcast_if_small(facts.withColumnsRenamed({k: f"_beside_{k}" for k in keys}))
+    renamed = settled(facts.withColumnsRenamed({k: f"_beside_{k}" for k in keys}))
     condition = F.lit(True)
     for key in keys:
         condition = F.col(key).eqNullSafe(F.col(f"_beside_{key}")) & condition
@@ -75,7 +75,22 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="trajlens-")
+    folder = tempfile.mkdtemp(prefix="trajlens-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Compute a table once, as files in the shared folder, whose size tells Spark how to join it.
+
+    The files are deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -89,17 +104,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def large_groups(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame | None:
     """``(keys…, _group_rows)`` of the groups above ``max_rows``, or None if there are none.
 
-    A short list becomes part of the plan; a long one stays a stored table, and
-    Spark chooses how to join it.
+    The groups are counted once. The list is a stored table, and Spark chooses how to join it.
     """
     if max_rows is None:
         return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows"))
-    large = sizes.where(F.col("_group_rows") > max_rows)
-    rows = collect_bounded(large)
-    if rows is None:
-        return checkpointed(large)
-    return local_table(df.sparkSession, rows, sizes.schema) if rows else None
+    large = settled(sizes.where(F.col("_group_rows") > max_rows))
+    return None if large.isEmpty() else large
 
 
 def _pick(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -165,7 +176,7 @@ def _with_offsets(
     condition = F.col("_slice") == F.col("_off_slice")
     for key in keys:
         condition = condition & F.col(key).eqNullSafe(F.col(f"_off_{key}"))
-    return sliced.join(broadcast_if_small(offsets), condition).drop("_off_slice", *[f"_off_{k}" for k in keys])
+    return sliced.join(settled(offsets), condition).drop("_off_slice", *[f"_off_{k}" for k in keys])
 
 
 def with_position(

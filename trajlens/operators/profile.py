@@ -69,7 +69,7 @@ def boxplot_stats(
     keys = [*by, "feature"]
     cells = _cells(df, columns, by)
     quartiles = exact_percentiles(
-        cells, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, max_group_rows=max_group_rows, store=False
+        cells, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, max_group_rows=max_group_rows
     )
     reach = WHISKER * (F.col("q3") - F.col("q1"))
     value = F.col("value")

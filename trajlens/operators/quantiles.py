@@ -11,26 +11,25 @@ so the result does not depend on its error.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trajlens.operators.ordering import (
     MAX_GROUP_ROWS,
-    checkpointed,
     large_groups,
-    local_table,
     rows_of,
     rows_outside,
+    settled,
 )
 
 # Probes of one sketch pass; each pass leaves about 1/PROBES of the rows.
 PROBES = 500
 # Rows of one bracket that are sorted directly.
 DIRECT_ROWS = 50_000
+# Shares of a group, where brackets are joined by shuffle.
+SALTS = 32
 
 
 def sorted_values(value: str) -> Column:
@@ -61,7 +60,7 @@ def exact_percentiles(
     """``(by…, one column per fraction)``; null and NaN values are left out.
 
     ``store=False`` scans ``df`` again in every narrowing pass instead of
-    checkpointing the values of the large groups; right for a plain table scan.
+    storing the values of the large groups; right for a plain table scan.
     ``max_group_rows=None`` is for callers who know that no group is large.
     """
     by = list(by)
@@ -76,154 +75,136 @@ def exact_percentiles(
     if groups is None:
         return direct(values)
     large = rows_of(values, groups, by)
-    narrowed = _narrow(checkpointed(large) if store else large, groups, by, fractions, discrete)
+    narrowed = _narrow(settled(large) if store else large, groups, by, fractions, discrete)
     if not by:
         return narrowed
     return direct(rows_outside(values, groups, by)).unionByName(narrowed)
 
 
-def _wanted_ranks(n: int, fraction: float, discrete: bool) -> tuple[int, int, float]:
-    """The two 0-based ranks to look up and the weight of the upper one."""
-    if discrete:
-        rank = max(math.ceil(fraction * n) - 1, 0)
-        return rank, rank, 0.0
-    place = (n - 1) * fraction
-    low = math.floor(place)
-    return low, min(low + 1, n - 1), place - low
+def _wanted(groups: DataFrame, by: Sequence[str], fractions: Mapping[str, float], discrete: bool) -> DataFrame:
+    """``(by…, _n, _name, _left, _right, _weight)``: the two 0-based ranks of each percentile and the weight of the right one."""
+    n = F.col("_group_rows")
+    wanted = []
+    for name, fraction in fractions.items():
+        if discrete:
+            left = F.greatest(F.ceil(n * F.lit(float(fraction))).cast("long") - 1, F.lit(0).cast("long"))
+            right, weight = left, F.lit(0.0)
+        else:
+            place = (n - 1) * F.lit(float(fraction))
+            left = F.floor(place).cast("long")
+            right, weight = F.least(left + 1, n - 1), place - left
+        wanted.append(
+            F.struct(
+                F.lit(name).alias("_name"), left.alias("_left"), right.alias("_right"), weight.cast("double").alias("_weight")
+            )
+        )
+    return groups.select(*by, n.alias("_n"), F.inline(F.array(*wanted)))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe join; the keys of the right side are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    condition = F.lit(True)
+    for key in keys:
+        condition = F.col(key).eqNullSafe(F.col(f"_other_{key}")) & condition
+    return left.join(renamed, condition, how).drop(*[f"_other_{k}" for k in keys])
 
 
-class _Brackets:
-    """Rows of large groups that lie in open brackets (group, low, high); several ranks share a bracket.
+def _inside(values: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every value with each bracket of its group that holds it.
 
-    Driver state and broadcast are a few brackets per large group.
+    Both sides carry a salt, so that a large group is shared by many tasks where
+    Spark joins by shuffle.
     """
-
-    def __init__(self, df: DataFrame, groups: DataFrame, by: list[str]):
-        self.df, self.by = df, by
-        self.members = [tuple(row) for row in groups.collect()]
-        self.key_fields = [groups.schema[k] for k in by]
-
-    def rows(self, brackets: Sequence[tuple], extra_fields: Sequence[T.StructField], extras: Sequence[tuple]) -> DataFrame:
-        """``(_value, _bracket, extras…)`` for every row and bracket that holds it."""
-        fields = [T.StructField(f"_key_{f.name}", f.dataType) for f in self.key_fields] + [
-            T.StructField("_bracket", T.IntegerType()),
-            T.StructField("_low", T.DoubleType()),
-            T.StructField("_high", T.DoubleType()),
-            *extra_fields,
-        ]
-        table = [
-            (*self.members[group][:-1], i, low, high, *extra)
-            for i, ((group, low, high), extra) in enumerate(zip(brackets, extras))
-        ]
-        value = F.col("_value")
-
-        def inside(low: Column, high: Column) -> Column:
-            return (low.isNull() | (value > low)) & (high.isNull() | (value < high))
-
-        if not self.by:  # one group: its few brackets travel as a literal
-            literals = [
-                F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in table
-            ]
-            fitting = F.filter(F.array(*literals), lambda t: inside(t["_low"], t["_high"]))
-            return self.df.select("_value", F.inline(fitting))
-        condition = inside(F.col("_low"), F.col("_high"))
-        for key in self.by:
-            condition = F.col(key).eqNullSafe(F.col(f"_key_{key}")) & condition
-        return self.df.join(F.broadcast(local_table(self.df.sparkSession, table, T.StructType(fields))), condition)
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    dealt = brackets.withColumn("_salt", F.explode(salts))
+    placed = values.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = _same(placed, dealt, [*by, "_salt"]).drop("_salt")
+    value, low, high = F.col("_value"), F.col("_low"), F.col("_high")
+    return joined.where((low.isNull() | (value > low)) & (high.isNull() | (value < high)))
 
 
 def _narrow(df: DataFrame, groups: DataFrame, by: list[str], fractions: Mapping[str, float], discrete: bool) -> DataFrame:
-    """Percentiles of the listed groups."""
-    source = _Brackets(df, groups, by)
-    members = source.members
-    # (group, wanted rank) -> bracket, rank inside it, rows inside it
-    targets: dict[tuple[int, int], dict] = {}
-    for group, member in enumerate(members):
-        for fraction in fractions.values():
-            for rank in _wanted_ranks(member[-1], fraction, discrete)[:2]:
-                targets[(group, rank)] = {"bracket": (group, None, None), "rank": rank, "rows": member[-1]}
-    found: dict[tuple[int, int], float] = {}
-    while open_targets := [k for k in targets if k not in found]:
-        _look_up(source, [k for k in open_targets if targets[k]["rows"] <= DIRECT_ROWS], targets, found)
-        _split(source, [k for k in open_targets if targets[k]["rows"] > DIRECT_ROWS], targets, found)
-
-    rows = []
-    for group, member in enumerate(members):
-        results = []
-        for fraction in fractions.values():
-            low, high, weight = _wanted_ranks(member[-1], fraction, discrete)
-            left, right = found[(group, low)], found[(group, high)]
-            results.append(left if left == right else (1.0 - weight) * left + weight * right)
-        rows.append((*member[:-1], *results))
-    schema = T.StructType([*source.key_fields, *[T.StructField(name, T.DoubleType()) for name in fractions]])
-    return local_table(df.sparkSession, rows, schema)
-
-
-def _look_up(source: _Brackets, keys: Sequence[tuple], targets: dict, found: dict) -> None:
+    """Percentiles of the listed groups.
+
+    The state is a table with one row per group and wanted rank: the open bracket
+    that holds it, how many rows lie below and inside, or the value once it is
+    found. Every round narrows all of them by joins; the driver sees only how many are open.
+    """
+    keys = by or ["_all"]
+    if not by:
+        df, groups = (t.withColumn("_all", F.lit(0)) for t in (df, groups))
+    wanted = _wanted(groups, keys, fractions, discrete)
+    ranks = wanted.select(*keys, "_n", F.explode(F.array("_left", "_right")).alias("_rank")).distinct()
+    none = F.lit(None).cast("double")
+    state = settled(
+        ranks.select(
+            *keys, "_rank", none.alias("_low"), none.alias("_high"), F.lit(0).cast("long").alias("_below"),
+            F.col("_n").alias("_rows"), none.alias("_found"),
+        )
+    )
+    while not (still := state.where("_found IS NULL")).isEmpty():
+        done = state.where("_found IS NOT NULL")
+        few = F.col("_rows") <= DIRECT_ROWS
+        state = settled(
+            done.unionByName(_look_up(df, still.where(few), keys)).unionByName(_split(df, still.where(~few), keys))
+        )
+    values = state.select(*keys, "_rank", "_found")
+    left = _same(wanted.withColumnRenamed("_left", "_rank"), values, [*keys, "_rank"]).withColumnRenamed("_found", "_a")
+    both = _same(left.drop("_rank").withColumnRenamed("_right", "_rank"), values, [*keys, "_rank"])
+    a, b, weight = F.col("_a"), F.col("_found"), F.col("_weight")
+    value = F.when(a == b, a).otherwise((F.lit(1.0) - weight) * a + weight * b)
+    named = [F.max(F.when(F.col("_name") == name, value)).alias(name) for name in fractions]
+    return both.groupBy(*keys).agg(*named).select(*by, *fractions)
+
+
+def _look_up(df: DataFrame, still: DataFrame, keys: list[str]) -> DataFrame:
     """Sort the few rows of each bracket and read the wanted ranks."""
-    if not keys:
-        return
-    brackets = sorted({targets[k]["bracket"] for k in keys}, key=str)
-    ranks = [sorted({targets[k]["rank"] for k in keys if targets[k]["bracket"] == b}) for b in brackets]
-    field = T.StructField("_ranks", T.ArrayType(T.IntegerType()))
-    picked = (
-        source.rows(brackets, [field], [(r,) for r in ranks])
-        .groupBy("_bracket", "_ranks")
-        .agg(sorted_values("_value").alias("_sorted"))
-        .select("_bracket", F.transform("_ranks", lambda r: F.get("_sorted", r)).alias("_hits"))
+    bracket = [*keys, "_low", "_high"]
+    arrays = _inside(df, still.select(*bracket).distinct(), keys).groupBy(*bracket).agg(
+        sorted_values("_value").alias("_sorted")
+    )
+    found = F.get("_sorted", (F.col("_rank") - F.col("_below")).cast("int"))
+    return _same(still.drop("_found"), arrays, bracket).select(
+        *keys, "_rank", "_low", "_high", "_below", "_rows", found.alias("_found")
     )
-    hits = {r["_bracket"]: r["_hits"] for r in picked.collect()}
-    for key in keys:
-        i = brackets.index(targets[key]["bracket"])
-        found[key] = hits[i][ranks[i].index(targets[key]["rank"])]
 
 
-def _split(source: _Brackets, keys: Sequence[tuple], targets: dict, found: dict) -> None:
-    """Propose a narrower bracket for every target and let exact counts decide."""
-    if not keys:
-        return
-    brackets = sorted({targets[k]["bracket"] for k in keys}, key=str)
+def _split(df: DataFrame, still: DataFrame, keys: list[str]) -> DataFrame:
+    """Propose a narrower bracket for every rank and let exact counts decide."""
+    bracket = [*keys, "_low", "_high"]
     fractions = [i / PROBES for i in range(PROBES + 1)]
-    sketches = source.rows(brackets, [], [()] * len(brackets)).groupBy("_bracket").agg(
+    sketches = _inside(df, still.select(*bracket).distinct(), keys).groupBy(*bracket).agg(
         F.percentile_approx("_value", fractions, 4 * PROBES).alias("_probes")
     )
-    probes = {brackets[r["_bracket"]]: r["_probes"] for r in sketches.collect()}
-    proposals = {}
-    for key in keys:
-        target = targets[key]
-        place = target["rank"] / max(target["rows"] - 1, 1) * PROBES
-        known = probes[target["bracket"]]
-        ends = known[max(math.floor(place) - 1, 0)], known[min(math.ceil(place) + 1, PROBES)]
-        proposals[key] = (target["bracket"], ends)
-
+    inside = F.col("_rank") - F.col("_below")
+    place = inside / F.greatest(F.col("_rows") - 1, F.lit(1)) * PROBES
+    lower = F.get("_probes", F.greatest(F.floor(place) - 1, F.lit(0)).cast("int"))
+    upper = F.get("_probes", F.least(F.ceil(place) + 1, F.lit(PROBES)).cast("int"))
+    proposed = settled(_same(still, sketches, bracket).select(*still.columns, lower.alias("_a"), upper.alias("_b")))
     # Neighbouring ranks mostly share a proposal and are counted together.
-    distinct = sorted(set(proposals.values()), key=str)
-    ends_fields = [T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType())]
+    stretch = [*bracket, "_a", "_b"]
     value, a, b = F.col("_value"), F.col("_a"), F.col("_b")
-    counted = source.rows([bracket for bracket, _ in distinct], ends_fields, [ends for _, ends in distinct])
-    counts = counted.groupBy("_bracket").agg(
-        F.count_if(value < a).alias("before"),
-        F.count_if(value == a).alias("at_a"),
-        F.count_if((value > a) & (value < b)).alias("between"),
-        F.count_if((value == b) & (a < b)).alias("at_b"),
-        F.count_if(value > b).alias("after"),
+    counts = _inside(df, proposed.select(*stretch).distinct(), keys).groupBy(*stretch).agg(
+        F.count_if(value < a).alias("_before"),
+        F.count_if(value == a).alias("_at_a"),
+        F.count_if((value > a) & (value < b)).alias("_between"),
+        F.count_if((value == b) & (a < b)).alias("_at_b"),
+        F.count_if(value > b).alias("_after"),
     )
-    by_proposal = {distinct[r["_bracket"]]: r for r in counts.collect()}
-    for key in keys:
-        target, row = targets[key], by_proposal[proposals[key]]
-        (group, low, high), (a_value, b_value) = proposals[key]
-        rank = target["rank"]
-        for stretch, size, hit in (
-            ((group, low, a_value), row["before"], None),
-            (None, row["at_a"], a_value),
-            ((group, a_value, b_value), row["between"], None),
-            (None, row["at_b"], b_value),
-            ((group, b_value, high), row["after"], None),
-        ):
-            if rank < size:
-                if hit is not None:
-                    found[key] = hit
-                else:
-                    target.update(bracket=stretch, rank=rank, rows=size)
-                break
-            rank -= size
+    placed, outcome, start = _same(proposed, counts, stretch), None, F.col("_below")
+    none = F.lit(None).cast("double")
+    for size, low, high, hit in (
+        (F.col("_before"), F.col("_low"), a, none),
+        (F.col("_at_a"), none, none, a),
+        (F.col("_between"), a, b, none),
+        (F.col("_at_b"), none, none, b),
+        (F.col("_after"), b, F.col("_high"), none),
+    ):
+        chosen = F.struct(
+            low.alias("_low"), high.alias("_high"), start.alias("_below"), size.alias("_rows"), hit.alias("_found")
+        )
+        within = F.col("_rank") < start + size
+        outcome = F.when(within, chosen) if outcome is None else outcome.when(within, chosen)
+        start = start + size
+    return placed.select(*keys, "_rank", outcome.alias("_next")).select(*keys, "_rank", "_next.*")

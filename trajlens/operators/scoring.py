@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from trajlens.models.batches import window_batch
 from trajlens.operators.labels import UNLABELLED
-from trajlens.operators.ordering import MAX_GROUP_ROWS, beside, large_groups
+from trajlens.operators.ordering import MAX_GROUP_ROWS, beside, large_groups, once
 from trajlens.operators.quantiles import exact_percentiles, percentile_of, sorted_values
 
 SCORE = "outlier_score"
@@ -86,7 +86,8 @@ def aggregate_entities(
     """One row per entity: max, mean, median and p95 score, window count, label, prediction summary.
 
     Everything but the two percentiles is combined before the shuffle. Entities
-    above ``max_group_rows`` get their percentiles without a per-group buffer.
+    above ``max_group_rows`` get their percentiles without a per-group buffer. Scores
+    that are not stored yet are stored once.
     """
     keys = [*by, entity]
     has_prediction = prediction is not None and prediction in scored.columns
@@ -103,6 +104,7 @@ def aggregate_entities(
             F.coalesce(F.avg(prediction), F.lit(0.0)).alias("outlier_window_ratio"),
         ]
     fractions = {"median_score": 0.5, "p95_score": 0.95}
+    scored = once(scored.select(*keys, *[c for c in dict.fromkeys((score, label, prediction)) if c in scored.columns]))
     groups = large_groups(scored, keys, max_group_rows)
     if groups is None:
         arrays = scored.groupBy(*keys).agg(*aggregates, sorted_values(score).alias("_sorted"))
@@ -125,6 +127,7 @@ def window_summary(
     max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """``(by…, n_windows, n_entities, mean, median and p95 of the score)``."""
+    scored = once(scored.select(*by, entity, score))
     per_entity = scored.groupBy(*by, entity).agg(F.count(F.lit(1)).alias("_n"), F.sum(score).alias("_sum"))
     counts = per_entity.groupBy(*by).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_windows"),
@@ -141,6 +144,7 @@ def summarize(
     max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """``(by…, n_windows, min, mean, median, max score, outlier_window_ratio)``."""
+    scored = once(scored.select(*by, score, prediction))
     counts = scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_windows"),
         F.min(score).alias("min_score"),
