@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trajlens.models.batches import window_batch
 from trajlens.models import DenseAutoencoder, MeanProfile, PcaLocal, PcaWindow, Reconstructor, load, loss, save
+from trajlens.models import reconstruct
 from trajlens.models.reconstruct import _gradient, _layer_shapes
 from trajlens.operators import scoring
 
@@ -55,6 +56,91 @@ def test_pca_local_equals_svd(windows, matrix):
     assert np.allclose(PcaLocal.fit(windows, k=2).reconstruct(matrix), expected, atol=1e-8)
 
 
+def low_rank_windows(spark, n, size, width, rank=6, parts=5):
+    """Windows with ``rank`` main directions and noise, made in tasks; and a function of their numbers that gives the matrix."""
+    shapes = np.random.default_rng(1).standard_normal((rank, size * width)) * 2.0 ** -np.arange(rank)[:, None]
+
+    def matrix(numbers):
+        rows = [np.random.default_rng(int(i)) for i in numbers]
+        return np.array([r.standard_normal(rank) @ shapes + 0.05 * r.standard_normal(size * width) + 1.0 for r in rows])
+
+    def make(batches):
+        for batch in batches:
+            x = matrix(batch.column(0).to_pylist())
+            ends = lambda step, count: pa.array(np.arange(count + 1) * step, pa.int32())
+            steps = pa.ListArray.from_arrays(ends(width, len(x) * size), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends(size, len(x)), steps)], names=["X"])
+
+    return spark.range(0, n, 1, parts).mapInArrow(make, "X array<array<double>>"), matrix(range(n))
+
+
+def subspace_angle(a, b):
+    """Sine of the largest angle between the spans of two orthonormal bases."""
+    return np.linalg.norm(a - b @ (b.T @ a), 2)
+
+
+def test_block_power_iteration_equals_svd(spark):
+    windows, x = low_rank_windows(spark, 300, 6, 20)
+    mean = x.mean(axis=0)
+    found = reconstruct.principal_directions(windows, reconstruct.whole_windows, mean, 4)
+    expected = np.linalg.svd(x - mean, full_matrices=False)[2][:4].T
+    assert found.shape == (120, 4) and subspace_angle(found, expected) < 1e-6
+    assert np.allclose(found.T @ found, np.eye(4), atol=1e-10)
+
+
+def test_pca_of_wide_windows(spark, monkeypatch):
+    """5,000 cells a window: no matrix of 5,000 x 5,000 anywhere."""
+    windows, x = low_rank_windows(spark, 120, 10, 500)
+    model = PcaWindow.fit(windows, k=5)
+    expected = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:5].T
+    assert subspace_angle(model.directions, expected) < 1e-6
+    small, _ = low_rank_windows(spark, 100, 6, 5)
+    plain = PcaLocal.fit(small, k=3)
+    monkeypatch.setattr(reconstruct, "DENSE_CELLS", 10)
+    assert subspace_angle(PcaLocal.fit(small, k=3).directions, plain.directions) < 1e-6
+
+
+def test_power_iteration_that_does_not_settle_warns(spark):
+    windows, x = low_rank_windows(spark, 60, 4, 10)
+    with pytest.warns(UserWarning, match="after 1 passes"):
+        reconstruct.principal_directions(windows, reconstruct.whole_windows, x.mean(axis=0), 4, most_passes=1)
+
+
+def test_training_does_not_depend_on_files(windows, spark, tmp_path):
+    args = dict(hidden=6, latent=2, epochs=3, batch_size=8, learning_rate=0.01, entity="vehicle_id", buckets=4)
+    fitted = []
+    for files in (2, 7, 40):
+        path = str(tmp_path / f"files{files}")
+        windows.withColumn("_r", F.rand(files)).orderBy("_r").drop("_r").repartition(files).write.parquet(path)
+        fitted.append(DenseAutoencoder.fit(spark.read.parquet(path), spark.read.parquet(path), **args))
+    assert len(list((tmp_path / "files40").glob("*.parquet"))) == 40
+    for other in fitted[1:]:
+        assert np.array_equal(fitted[0].flat, other.flat) and fitted[0].train_loss == other.train_loss
+    # Nor on how many windows travel in one batch.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        again = DenseAutoencoder.fit(windows, windows, **args)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.array_equal(fitted[0].flat, again.flat)
+
+
+def test_a_lazy_input_is_trained_from_one_evaluation(windows, spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lazy = windows.mapInArrow(count, windows.schema)
+    DenseAutoencoder.fit(lazy, None, hidden=4, latent=2, epochs=3)
+    assert seen.value == 200
+    PcaWindow.fit(lazy, k=2)
+    PcaLocal.fit(lazy, k=2)
+    assert seen.value == 600
+
+
 def test_gradient_against_differences():
     rng = np.random.default_rng(0)
     shapes = _layer_shapes(4, 3, 2)
@@ -69,7 +155,7 @@ def test_gradient_against_differences():
 
 
 def test_autoencoder_learns_and_repeats(windows, spark):
-    args = dict(hidden=12, latent=3, epochs=8, batch_size=16, learning_rate=0.01)
+    args = dict(hidden=12, latent=3, epochs=8, batch_size=16, learning_rate=0.01, buckets=2)
     first = DenseAutoencoder.fit(windows, windows, **args)
     assert first.val_loss[-1] < 0.7 * first.val_loss[0] and len(first.train_loss) == 8
     second = DenseAutoencoder.fit(windows, windows, **args)
@@ -80,14 +166,14 @@ def test_autoencoder_learns_and_repeats(windows, spark):
 
 
 def test_autoencoder_stops_early(windows):
-    model = DenseAutoencoder.fit(windows, windows.where("false").union(windows.limit(5)), hidden=4, latent=1, epochs=30, learning_rate=5.0, patience=2)
+    model = DenseAutoencoder.fit(windows, windows.where("false").union(windows.limit(5)), hidden=4, latent=1, epochs=30, learning_rate=5.0, patience=2, buckets=2)
     assert len(model.val_loss) < 30
     best = int(np.argmin(model.val_loss))
     assert len(model.val_loss) - 1 - best == 2
 
 
 def test_without_validation_the_last_weights_are_kept(windows, matrix):
-    model = DenseAutoencoder.fit(windows, None, hidden=8, latent=2, epochs=5, batch_size=16, learning_rate=0.01)
+    model = DenseAutoencoder.fit(windows, None, hidden=8, latent=2, epochs=5, batch_size=16, learning_rate=0.01, buckets=2)
     assert model.val_loss == ()
     assert ((matrix - model.reconstruct(matrix)) ** 2).mean() < model.train_loss[0]
 

@@ -8,7 +8,8 @@ on the window shape, never on the number of windows, reach the driver.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
@@ -17,12 +18,11 @@ import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajlens.models.batches import window_batch
-from trajlens.operators.ordering import local_table
+from trajlens.operators.ordering import checkpointed, local_table, once, settled
 
 # Training defaults.
 EPOCHS = 20
@@ -31,6 +31,13 @@ LEARNING_RATE = 1e-3
 PATIENCE = 5
 LATENT_DIM = 64
 HIDDEN_DIM = 128
+# Windows with more cells get their main directions without a covariance matrix.
+DENSE_CELLS = 1_000
+EXTRA_DIRECTIONS, PCA_TOLERANCE, PCA_PASSES = 10, 1e-9, 200
+SUM_CHUNK = 1 << 16
+# Optimiser states that are trained side by side, and mini-batches among which windows are mixed.
+BUCKETS = 16
+MIXED_BATCHES = 32
 
 WEIGHT_SCHEMA = "kind string, name string, shape array<int>, values array<double>"
 
@@ -58,11 +65,84 @@ def _describe(windows: DataFrame) -> tuple[int, int, np.ndarray]:
     return shapes[0]["size"], shapes[0]["width"], np.asarray(shapes[0]["mean"].toArray())
 
 
-def _window_shape(windows: DataFrame) -> tuple[int, int]:
-    row = windows.select(F.size("X").alias("size"), F.size(F.get("X", F.lit(0))).alias("width")).first()
-    if row is None or row["size"] <= 0 or row["width"] <= 0:
-        raise ValueError("the window table is empty")
-    return row["size"], row["width"]
+def _around(batch: np.ndarray) -> np.ndarray:
+    """Every step with its zero-padded neighbours, ``[n, size, 3 * features]``."""
+    n, size, width = batch.shape
+    padded = np.zeros((n, size + 2, width))
+    padded[:, 1:-1] = batch
+    return np.concatenate([padded[:, :-2], padded[:, 1:-1], padded[:, 2:]], axis=2)
+
+
+def whole_windows(batch: np.ndarray) -> np.ndarray:
+    return batch.reshape(len(batch), -1)
+
+
+def neighbourhoods(batch: np.ndarray) -> np.ndarray:
+    return _around(batch).reshape(-1, 3 * batch.shape[2])
+
+
+def _summed(windows: DataFrame, partial: Callable[[np.ndarray], np.ndarray], length: int) -> np.ndarray:
+    """Sum over all windows of a vector that ``partial`` makes of each batch.
+
+    A task adds up its batches and sends the sum in chunks; chunks are summed by
+    Spark, so the driver gets one vector, however many tasks there are.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length)
+        for batch in batches:
+            x = window_batch(batch)
+            if len(x):
+                total += partial(x)
+        for at in range(0, length, SUM_CHUNK):
+            part = pa.array([total[at : at + SUM_CHUNK]], type=pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([at // SUM_CHUNK], pa.int32()), part], names=["chunk", "part"])
+
+    parts = windows.select("X").mapInArrow(work, "chunk int, part array<double>").withColumn("part", array_to_vector("part"))
+    sums = parts.groupBy("chunk").agg(Summarizer.sum(parts["part"]).alias("total")).collect()
+    if not sums:
+        return np.zeros(length)
+    return np.concatenate([r["total"].toArray() for r in sorted(sums, key=lambda r: r["chunk"])])
+
+
+def principal_directions(
+    windows: DataFrame,
+    rows_of: Callable[[np.ndarray], np.ndarray],
+    mean: np.ndarray,
+    k: int,
+    extra: int = EXTRA_DIRECTIONS,
+    tolerance: float = PCA_TOLERANCE,
+    most_passes: int = PCA_PASSES,
+    seed: int = 42,
+) -> np.ndarray:
+    """The ``k`` main directions ``[cells, k]`` of the rows that ``rows_of`` makes of a batch, by block power iteration.
+
+    Each pass over the windows multiplies ``k + extra`` orthonormal directions by
+    the scatter matrix, which is never built: tasks and driver hold cells x
+    (k + extra) numbers. It ends when the residual of the main ``k`` is below
+    ``tolerance`` times the largest eigenvalue, and warns if it isn't after ``most_passes``.
+    """
+    cells = len(mean)
+    k, block = min(k, cells), min(k + extra, cells)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((cells, block)))[0]
+    residual = float("inf")
+    for _ in range(most_passes):
+
+        def product(x: np.ndarray, basis: np.ndarray = basis) -> np.ndarray:
+            rows = rows_of(x) - mean
+            return (rows.T @ (rows @ basis)).ravel()
+
+        image = _summed(windows, product, cells * block).reshape(cells, block)
+        values, turn = np.linalg.eigh(basis.T @ image)
+        turn = turn[:, ::-1][:, :k]
+        found, values = basis @ turn, values[::-1][:k]
+        residual = float(np.linalg.norm(image @ turn - found * values)) / max(float(values[0]), np.finfo(float).tiny)
+        if residual <= tolerance:
+            break
+        basis = np.linalg.qr(image)[0]
+    else:
+        warnings.warn(f"main directions after {most_passes} passes: relative residual {residual:.1e}", stacklevel=3)
+    return found
 
 
 @dataclass(frozen=True)
@@ -98,9 +178,12 @@ class PcaWindow:
 
     @classmethod
     def fit(cls, windows: DataFrame, k: int = 8) -> "PcaWindow":
-        size, width, mean = _describe(windows)
+        windows = once(windows.select("X"))
+        _, _, mean = _describe(windows)
+        if len(mean) > DENSE_CELLS:
+            return cls(mean, principal_directions(windows, whole_windows, mean, k))
         vectors = windows.select(array_to_vector(F.flatten("X")).alias("v"))
-        found = PCA(k=min(k, size * width), inputCol="v", outputCol="p").fit(vectors)
+        found = PCA(k=min(k, len(mean)), inputCol="v", outputCol="p").fit(vectors)
         return cls(mean, found.pc.toArray())
 
     def reconstruct(self, batch: np.ndarray) -> np.ndarray:
@@ -125,7 +208,12 @@ class PcaLocal:
 
     @classmethod
     def fit(cls, windows: DataFrame, k: int = 4) -> "PcaLocal":
-        _, width = _window_shape(windows)
+        windows = once(windows.select("X"))
+        size, width, whole = _describe(windows)
+        # The mean of the neighbourhoods follows from the mean window.
+        mean = neighbourhoods(whole.reshape(1, size, width)).mean(axis=0)
+        if 3 * width > DENSE_CELLS:
+            return cls(mean, principal_directions(windows, neighbourhoods, mean, k))
         cell = windows.schema["X"].dataType.elementType.elementType
         zeros = F.array(*[F.lit(0.0).cast(cell)] * width)
         around = F.transform(
@@ -136,14 +224,11 @@ class PcaLocal:
         )
         steps = windows.select(F.explode(around).alias("around")).select(array_to_vector("around").alias("v"))
         found = PCA(k=min(k, 3 * width), inputCol="v", outputCol="p").fit(steps)
-        mean = steps.select(Summarizer.mean(steps["v"]).alias("m")).first()["m"].toArray()
-        return cls(np.asarray(mean), found.pc.toArray())
+        return cls(mean, found.pc.toArray())
 
     def reconstruct(self, batch: np.ndarray) -> np.ndarray:
-        n, size, width = batch.shape
-        padded = np.zeros((n, size + 2, width))
-        padded[:, 1:-1] = batch
-        around = np.concatenate([padded[:, :-2], padded[:, 1:-1], padded[:, 2:]], axis=2) - self.mean
+        width = batch.shape[2]
+        around = _around(batch) - self.mean
         centre = slice(width, 2 * width)
         return around @ self.directions @ self.directions[centre].T + self.mean[centre]
 
@@ -201,9 +286,12 @@ def _gradient(x: np.ndarray, flat: np.ndarray, shapes) -> tuple[float, np.ndarra
 class DenseAutoencoder:
     """Bottleneck network trained by parallel mini-batch Adam with averaging after each epoch.
 
-    Every task starts an epoch from the same weights and Adam moments, runs its
-    own mini-batches, and the results are averaged by row count. This replaces
-    the single global step per batch of one-machine training.
+    Windows are dealt to ``buckets`` by the hash of their entity and sorted inside
+    by window id. Every bucket starts an epoch from the same weights and Adam
+    moments, runs its own mini-batches, and the results are averaged by row count
+    in the order of the buckets. So the weights depend on the windows and the
+    settings, not on files, partitions or tasks. This replaces the single global
+    step per batch of one-machine training.
     """
 
     flat: np.ndarray
@@ -227,9 +315,14 @@ class DenseAutoencoder:
         learning_rate: float = LEARNING_RATE,
         patience: int = PATIENCE,
         seed: int = 42,
+        entity: str | None = None,
+        buckets: int = BUCKETS,
     ) -> "DenseAutoencoder":
+        """``entity`` names the column that is dealt to buckets; without it each window is dealt by its own key."""
         start = time.time()
-        size, width = _window_shape(train)
+        train = training_buckets(train, entity, buckets)
+        validation = None if validation is None else once(validation.select("X"))
+        size, width, _ = _describe(train)
         shapes = _layer_shapes(size * width, hidden, latent)
         rng = np.random.default_rng(seed)
         flat = np.concatenate(
@@ -316,56 +409,87 @@ def _tie_break(history: DataFrame):
     return F.when(F.col("val_loss").isNull(), -F.col("epoch")).otherwise(F.col("epoch"))
 
 
-def _run_epoch(train, state, steps, shapes, batch_size, learning_rate, seed) -> tuple[np.ndarray, int, float]:
-    """One pass of every task over its windows, then the row-weighted average."""
-    n_weights = len(state) // 3
+def training_buckets(windows: DataFrame, entity: str | None, buckets: int) -> DataFrame:
+    """``(bucket, X)`` with whole buckets as partitions, in a fixed order inside; stored once for all epochs.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, first, second = (part.copy() for part in np.split(state, 3))
-        rng = np.random.default_rng([*seed, TaskContext.get().partitionId()])
-        step, rows, total = steps, 0, 0.0
-        for batch in batches:
-            x = window_batch(batch)
-            x = x.reshape(len(x), -1)[rng.permutation(len(x))]
+    Windows are known by ``window_id``, or by their values if there is none.
+    """
+    known = F.col("window_id").cast("string") if "window_id" in windows.columns else F.xxhash64("X").cast("string")
+    dealt = F.pmod(F.xxhash64(entity) if entity else F.xxhash64(known), F.lit(buckets)).cast("int")
+    keyed = windows.select(dealt.alias("bucket"), known.alias("_key"), F.xxhash64("X").alias("_tie"), "X")
+    ordered = keyed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "_key", "_tie")
+    return checkpointed(ordered.select("bucket", "X"))
+
+
+def _run_epoch(train, state, steps, shapes, batch_size, learning_rate, seed) -> tuple[np.ndarray, int, float]:
+    """One pass of every bucket over its windows, then the row-weighted average in bucket order."""
+    mixed = batch_size * MIXED_BATCHES
+
+    class Run:
+        """The optimiser of one bucket."""
+
+        def __init__(self, bucket: int):
+            self.bucket, self.rng = bucket, np.random.default_rng([*seed, bucket])
+            self.flat, self.first, self.second = (part.copy() for part in np.split(state, 3))
+            self.step, self.rows, self.total, self.waiting = steps, 0, 0.0, []
+
+        def add(self, x: np.ndarray, last: bool = False) -> None:
+            """Train on every full stretch of windows, and at the end on what is left."""
+            self.waiting.append(x)
+            if not last and sum(map(len, self.waiting)) < mixed:
+                return
+            x = np.concatenate(self.waiting)
+            stop = len(x) if last else len(x) // mixed * mixed
+            for begin in range(0, stop, mixed):
+                self.train(x[begin : min(begin + mixed, stop)])
+            self.waiting = [x[stop:]]
+
+        def train(self, x: np.ndarray) -> None:
+            x = x[self.rng.permutation(len(x))]
             for at in range(0, len(x), batch_size):
                 part = x[at : at + batch_size]
-                value, gradient = _gradient(part, flat, shapes)
-                step += 1
-                first = 0.9 * first + 0.1 * gradient
-                second = 0.999 * second + 0.001 * gradient**2
-                scale = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                flat = flat - learning_rate * scale * first / (np.sqrt(second) + 1e-8)
-                rows += len(part)
-                total += value * len(part)
-        if rows:
-            merged = pa.array([np.concatenate([flat, first, second])], type=pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows]), pa.array([step - steps]), pa.array([total]), merged],
-                names=["rows", "steps", "total", "state"],
+                value, gradient = _gradient(part, self.flat, shapes)
+                self.step += 1
+                self.first = 0.9 * self.first + 0.1 * gradient
+                self.second = 0.999 * self.second + 0.001 * gradient**2
+                scale = np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+                self.flat = self.flat - learning_rate * scale * self.first / (np.sqrt(self.second) + 1e-8)
+                self.rows += len(part)
+                self.total += value * len(part)
+
+        def result(self) -> pa.RecordBatch:
+            self.add(self.waiting[0][:0], last=True)
+            merged = pa.array([np.concatenate([self.flat, self.first, self.second])], type=pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([self.bucket], pa.int32()), *[pa.array([v]) for v in (self.rows, self.step - steps, self.total)], merged],
+                names=["bucket", "rows", "steps", "total", "state"],
             )
 
-    done = train.select("X").mapInArrow(work, "rows long, steps long, total double, state array<double>")
-    # Tasks are merged in a few groups first; the driver gets one state per group.
-    vectors = done.withColumn("state", array_to_vector("state")).withColumn(
-        "_part", F.pmod(F.spark_partition_id(), F.lit(16))
-    )
-    merged = (
-        vectors.groupBy("_part")
-        .agg(
-            F.sum("rows").alias("rows"),
-            F.max("steps").alias("steps"),
-            F.sum("total").alias("total"),
-            Summarizer.mean(vectors["state"], vectors["rows"].cast("double")).alias("state"),
-        )
-        .orderBy("_part")
-        .collect()
-    )
-    rows = sum(r["rows"] for r in merged)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = None
+        for batch in batches:
+            bucket, x = batch.column(0).to_numpy(), window_batch(batch)
+            x = x.reshape(len(x), -1)
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            for number, part in zip(bucket[np.append([0], cuts)] if len(bucket) else [], np.split(x, cuts)):
+                if run is None or run.bucket != number:
+                    if run is not None:
+                        yield run.result()
+                    run = Run(int(number))
+                run.add(part)
+        if run is not None:
+            yield run.result()
+
+    schema = "bucket int, rows long, steps long, total double, state array<double>"
+    done = settled(train.mapInArrow(work, schema))
+    # One state at a time reaches the driver.
+    averaged, rows, total, most = np.zeros(len(state)), 0, 0.0, 0
+    for r in done.orderBy("bucket").toLocalIterator():
+        averaged += np.asarray(r["state"]) * r["rows"]
+        rows, total, most = rows + r["rows"], total + r["total"], max(most, r["steps"])
     if not rows:
         raise ValueError("the window table is empty")
-    averaged = sum(r["state"].toArray() * (r["rows"] / rows) for r in merged)
-    assert len(averaged) == 3 * n_weights
-    return averaged, steps + max(r["steps"] for r in merged), sum(r["total"] for r in merged) / rows
+    return averaged / rows, steps + most, total / rows
 
 
 # --- loss and storage ------------------------------------------------------
