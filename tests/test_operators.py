@@ -83,6 +83,25 @@ def test_duplicates(spark):
     assert rows(quality.duplicate_count(df.where("false"))) == [(0,)]
 
 
+def test_duplicates_are_compared_inside_hashes(spark, monkeypatch):
+    """With hashes that all collide, only rows that are equal count."""
+    df = spark.range(60).selectExpr("id % 20 AS a", "CAST(id % 3 AS STRING) AS b", "IF(id % 4 = 0, NULL, id % 2) AS c")
+    expected = 60 - df.distinct().count()
+    assert rows(quality.duplicate_count(df)) == [(expected,)]
+    monkeypatch.setattr(quality, "row_hash", lambda columns: [F.lit(1).cast("long"), F.lit(2).cast("long")])
+    assert rows(quality.duplicate_count(df)) == [(expected,)]
+
+
+def test_duplicates_shuffle_hashes_only(spark, tmp_path, monkeypatch):
+    wide = spark.range(50).select("id", *[F.lit("x" * 50).alias(f"c{i}") for i in range(20)])
+    plans = []
+    monkeypatch.setattr(quality, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df.limit(0))
+    quality.duplicate_count(wide)
+    assert "hashpartitioning(_h1" in plans[0] and "c19" not in plans[0].split("Exchange")[0]
+    assert "keys=[_h1" in plans[0].split("Exchange")[1].split("Project")[0] and "c19" not in plans[0].split("Exchange")[1].split("Project")[0]
+
+
+
 # --- time ------------------------------------------------------------------
 
 

@@ -6,12 +6,13 @@ import os
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from checks import rows
 from pyspark.sql import functions as F
 
 from trajlens.models import MeanProfile, PcaWindow
-from trajlens.operators import compare, lineage
+from trajlens.operators import compare, lineage, windows
 from trajlens.plans import PrepareConfig, evaluate, fit_and_threshold, prepare, profile
 from trajlens.roles import Roles
 from trajlens.sources import TableSet, read_table
@@ -95,11 +96,80 @@ def test_inventory_and_hashes(spark, tmp_path):
     assert hashes["A.PNG"] == hashlib.sha256(b"abc").hexdigest()
 
 
-def test_large_files_are_refused(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.bin").write_bytes(b"12345")
+def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    """Files above the limit, one of them sparse and above 2 GB, give the same digests as ``hashlib``."""
+    data = {"a.bin": b"12345" * 1000, "b 1.bin": b"ab"}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    size = (2 << 30) + 17
+    with open(tmp_path / "sparse.bin", "wb") as out:
+        out.truncate(size)
     monkeypatch.setattr(lineage, "MAX_FILE_BYTES", 3)
-    with pytest.raises(ValueError, match="a.bin"):
-        lineage.file_hashes(spark, str(tmp_path))
+    found = {r["path"].rsplit("/", 1)[1].replace("%20", " "): (r["size_bytes"], r["sha256"]) for r in lineage.file_hashes(spark, str(tmp_path)).collect()}
+    digest, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(size >> 20):
+        digest.update(block)
+    digest.update(bytes(size % (1 << 20)))
+    assert found == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in data.items()} | {"sparse.bin": (size, digest.hexdigest())}
+
+
+def test_an_unchanged_table_is_verified_without_reading_it(spark, tmp_path, monkeypatch):
+    path, manifest, settings = str(tmp_path / "t"), str(tmp_path / "m"), {"a": 1}
+    spark.range(100).withColumn("v", F.col("id") * 2).repartition(4).write.parquet(path)
+    written = lineage.write_preparation(spark.read.parquet(path), manifest, "full", "t", settings)
+    with monkeypatch.context() as patch:
+        patch.setattr(lineage, "content_hash", lambda df: pytest.fail("the table was read"))
+        assert lineage.validate_preparation(spark.read.parquet(path), manifest, "full", "t", settings) == written
+        with pytest.raises(RuntimeError, match="prepared for this run"):
+            lineage.validate_preparation(spark.read.parquet(path), manifest, "full", "t", {"a": 2})
+    # A filter on the files is another table, and is read.
+    with pytest.raises(RuntimeError):
+        lineage.validate_preparation(spark.read.parquet(path).where("id < 50"), manifest, "full", "t", settings)
+    # New times and the same content: hashed once, then known again.
+    files = sorted(p for p in os.listdir(path) if p.endswith(".parquet"))
+    os.utime(f"{path}/{files[1]}", (1, 1))
+    assert lineage.validate_preparation(spark.read.parquet(path), manifest, "full", "t", settings) == written
+    with monkeypatch.context() as patch:
+        patch.setattr(lineage, "content_hash", lambda df: pytest.fail("the table was read"))
+        assert lineage.validate_preparation(spark.read.parquet(path), manifest, "full", "t", settings) == written
+    # One file with other rows is found and named.
+    spark.range(7).withColumn("v", F.col("id")).coalesce(1).write.parquet(str(tmp_path / "other"))
+    (other,) = (p for p in os.listdir(tmp_path / "other") if p.endswith(".parquet"))
+    os.remove(f"{path}/.{files[2]}.crc")
+    with open(tmp_path / "other" / other, "rb") as new, open(f"{path}/{files[2]}", "wb") as out:
+        out.write(new.read())
+    with pytest.raises(RuntimeError) as error:
+        lineage.validate_preparation(spark.read.parquet(path), manifest, "full", "t", settings)
+    assert [f for f in files if f in str(error.value)] == [files[2]] and "changed: " in str(error.value)
+
+
+def test_window_facts_come_from_the_write(spark, tmp_path, monkeypatch):
+    """One job writes the table; its summary and fingerprint start no other that reads it."""
+    rows_ = spark.range(400).selectExpr("CAST(id % 7 AS INT) AS e", "CAST(id / 7 AS INT) AS t", "sin(id) AS f", "cos(id) AS g")
+    built = windows.build_windows(rows_, ["f", "g"], "e", "t", size=10, stride=3)
+    path, manifest = str(tmp_path / "w"), str(tmp_path / "m")
+    monkeypatch.setattr(windows, "read_windows", lambda *a: pytest.fail("the table was read back"))
+    stored = windows.store_windows(built, path, "e", files=3)
+    again = spark.read.parquet(path)
+    assert (stored.n_windows, stored.content_hash) == tuple(lineage.content_hash(again).first())
+    assert (stored.n_entities, stored.window_size, stored.n_features) == (again.select("e").distinct().count(), 10, 2)
+    with monkeypatch.context() as patch:
+        patch.setattr(lineage, "content_hash", lambda df: pytest.fail("the table was read"))
+        written = lineage.write_preparation(again, manifest, "full", "w", {}, (stored.n_windows, stored.content_hash))
+        assert lineage.validate_preparation(again, manifest, "full", "w", {}) == written
+
+
+def test_repeated_appends_change_nothing(spark, tmp_path):
+    first = spark.createDataFrame([("r1", "a", 1.0), ("r1", "b", 2.0)], "run_name string, model string, f1 double")
+    other = spark.createDataFrame([("r2", "a", 3.0)], first.schema)
+    for arguments in ({"partition_by": ["run_name"]}, {"key": ["run_name", "model"]}):
+        path = str(tmp_path / next(iter(arguments)))
+        for df in (first, other, first, other, first):
+            append_rows(df, path, **arguments)
+        found = spark.read.parquet(path).select("run_name", "model", "f1")
+        assert rows(found, "run_name", "model") == [("r1", "a", 1.0), ("r1", "b", 2.0), ("r2", "a", 3.0)]
+    append_rows(first.withColumn("f1", F.lit(9.0)), str(tmp_path / "partition_by"), partition_by=["run_name"])
+    assert spark.read.parquet(str(tmp_path / "partition_by")).agg(F.sum("f1")).first()[0] == 21.0
 
 
 def test_fingerprint_follows_content_and_settings(spark):
@@ -172,13 +242,31 @@ def test_whole_study(spark, study, tmp_path):
     result = evaluate(models, limits, prepared.windows["test"], "vehicle_id", out_dir=out, manifest=prepared.manifest)
     measured = {r["model"]: r for r in result.metrics.collect()}
     assert measured["mean_profile"]["f1_score"] == 1.0 and measured["mean_profile"]["roc_auc"] == 1.0
-    assert measured["pca_window"]["inference_time_seconds"] > 0 and measured["pca_window"]["split"] == "test"
+    assert all(m["inference_time_seconds"] >= 0 for m in measured.values()) and measured["pca_window"]["split"] == "test"
     assert result.window_predictions.count() == 240 and result.entity_predictions.count() == 60
     assert rows(result.window_summary.select("model", "n_windows", "n_entities"), "model") == [("mean_profile", 120, 30), ("pca_window", 120, 30)]
     compared = compare.run_comparison(result.metrics, limits.select("model"))
     assert compared.where("best_by_pr_auc").count() == 1
 
 
+def test_three_models_are_scored_in_one_pass(spark, study, tmp_path):
+    """The windows are evaluated once, whatever the number of models, and each model has its time."""
+    seen = spark.sparkContext.accumulator(0)
+    built = windows.build_windows(study[0].select("vehicle_id", "time_step", "a"), ["a"], "vehicle_id", "time_step", size=8, stride=4)
+    built = built.withColumn("y_true", (F.col("vehicle_id") % 3 == 0).cast("int"))
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    models = {f"m{i}": MeanProfile(np.full((8, 1), float(i))) for i in range(3)}
+    limits = spark.createDataFrame([(m, 1.0, 0.5) for m in models], "model string, threshold double, training_time_seconds double")
+    result = evaluate(models, limits, built.mapInArrow(count, built.schema), "vehicle_id")
+    assert result.metrics.count() == 3 and seen.value == built.count()
+    assert result.metrics.where("inference_time_seconds IS NULL").isEmpty()
+
+
 def test_sized_study_keeps_the_lowest_ids(study):
     readouts, tte, known = study
     prepared = prepare(

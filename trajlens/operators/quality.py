@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlens.functions.expressions import is_missing, safe_numeric
-from trajlens.operators.ordering import local_table
+from trajlens.operators.ordering import local_table, settled
 
 # From this many columns on, one aggregate per column makes too large a plan,
 # and (position, value) pairs are aggregated instead.
@@ -20,10 +20,24 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))
 
 
+def row_hash(columns: Sequence[Column]) -> list[Column]:
+    """128 bits of a row as two columns."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)]
+
+
 def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """``(n_duplicates)``: rows beyond the first of each distinct (sub)row."""
-    keys = list(subset) if subset else df.columns
-    copies = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    """``(n_duplicates)``: rows beyond the first of each distinct (sub)row.
+
+    Rows are counted by their hash, so 16 bytes of a row are shuffled, summed per task. Whole rows are compared only
+    where a hash occurs more than once, so rows that merely share a hash do not count.
+    """
+    keys = [F.col(f"`{k}`") for k in (list(subset) if subset else df.columns)]
+    first, second = row_hash(keys)
+    hashed = df.select(*keys, first.alias("_h1"), second.alias("_h2"))
+    often = hashed.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    often = settled(often.select(F.col("_h1").alias("_o1"), F.col("_h2").alias("_o2")))
+    again = hashed.join(often, (F.col("_h1") == F.col("_o1")) & (F.col("_h2") == F.col("_o2")), "left_semi")
+    copies = again.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 

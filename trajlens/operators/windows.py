@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajlens.operators.labels import UNLABELLED
+from trajlens.operators.lineage import hash_sums, sums_digest
 from trajlens.operators.ordering import (
     MAX_GROUP_ROWS,
-    beside,
     in_chunks,
     large_group_positions,
     large_groups,
+    local_table,
     rows_outside,
     with_position,
 )
@@ -200,32 +202,64 @@ def summary_by_split(splits: dict[str, DataFrame], entity: str) -> DataFrame:
     return window_summary(tagged, entity, ["split"])
 
 
-def write_windows(
+@dataclass(frozen=True)
+class StoredWindows:
+    """What was seen of a window table while it was written."""
+
+    path: str
+    n_windows: int
+    n_entities: int
+    window_size: int
+    n_features: int
+    content_hash: str
+
+
+def store_windows(
     windows: DataFrame,
     path: str,
     entity: str,
     files: int | None = None,
     features: Sequence[str] | None = None,
     max_records_per_file: int = 1_000_000,
-) -> DataFrame:
-    """Overwrite a Parquet window table and return its summary, read back from the files.
+) -> StoredWindows:
+    """Overwrite a Parquet window table; its facts are gathered by the write itself, and nothing is read back.
 
     With ``files``, rows are hashed by entity and window start, so that one huge
     entity does not end up in one file. Without it the partitions of the window
     step are written as they are. Feature names go to a manifest next to it.
+    Entities are counted by their first windows, which start at position 0.
     """
     if files is not None:
         windows = windows.repartition(files, entity, F.floor(F.col("start_idx") / FILE_CHUNK_ROWS))
-    windows.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(path)
+    seen = Observation()
+    zero = F.lit(0)
+    observed = windows.observe(
+        seen,
+        *hash_sums(windows.columns),
+        F.count_if((F.col("start_idx") == 0) & F.col(entity).isNotNull()).alias("n_entities"),
+        F.coalesce(F.max(F.size("X")), zero).alias("window_size"),
+        F.coalesce(F.max(F.size(F.get("X", zero))), zero).alias("n_features"),
+    )
+    observed.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(path)
     spark = windows.sparkSession
     if features is not None:
         rows = [(i, name) for i, name in enumerate(features)]
         spark.createDataFrame(rows, "ordinal int, feature string").coalesce(1).write.mode("overwrite").parquet(
             f"{path.rstrip('/')}_features"
         )
-    stored = read_windows(spark, path)
-    sizes = inspect_windows(stored).select("window_size", "n_features")
-    return beside(window_summary(stored, entity), sizes, []).withColumn("output_path", F.lit(path))
+    facts = seen.get
+    digest = sums_digest(facts["n_rows"], facts["_a"], facts["_b"])
+    return StoredWindows(
+        path, facts["n_rows"], facts["n_entities"], facts["window_size"], facts["n_features"], digest
+    )
+
+
+def write_windows(windows: DataFrame, path: str, entity: str, *args, **settings) -> DataFrame:
+    """``store_windows``; returns ``(n_windows, n_entities, window_size, n_features, output_path)``."""
+    stored = store_windows(windows, path, entity, *args, **settings)
+    row = (stored.n_windows, stored.n_entities, stored.window_size, stored.n_features, stored.path)
+    schema = "n_windows long, n_entities long, window_size int, n_features int, output_path string"
+    return local_table(windows.sparkSession, [row], schema)
 
 
 def read_windows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ from trajlens.operators import (
     thresholds,
     windows as windowing,
 )
-from trajlens.operators.ordering import MAX_GROUP_ROWS, checkpointed, local_table
+from trajlens.operators.ordering import MAX_GROUP_ROWS, checkpointed, local_table, once
 from trajlens.roles import Roles
 from trajlens.sources.metric_files import ENTITY_LEVEL
 
@@ -210,10 +210,11 @@ def prepare(
     fingerprints = {}
     for split, df in windows.items():
         path = f"{out_dir}/windows/{split}"
-        windowing.write_windows(df, path, entity, config.files, fitted.source_columns)
+        stored = windowing.store_windows(df, path, entity, config.files, fitted.source_columns)
         windows[split] = windowing.read_windows(spark, path)
         fingerprints[split] = lineage.write_preparation(
-            windows[split], f"{out_dir}/manifest", run_name, f"windows/{split}", asdict(config)
+            windows[split], f"{out_dir}/manifest", run_name, f"windows/{split}", asdict(config),
+            (stored.n_windows, stored.content_hash),
         )
     fitted.parameters(spark).coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/parameters")
     return Prepared(windows, fitted, fingerprints, Manifest(f"{out_dir}/manifest", run_name, asdict(config)))
@@ -234,22 +235,27 @@ def _below(out_dir: str | None, *parts: str) -> str | None:
 # --- fit, threshold, evaluate ----------------------------------------------
 
 
-def score_models(windows: DataFrame, models: Mapping[str, object], entity: str) -> DataFrame:
-    """``(model, window_id, entity, …, outlier_score)`` of several models from one pass over the windows."""
+def score_models(windows: DataFrame, models: Mapping[str, object], entity: str, seconds: bool = False) -> DataFrame:
+    """``(model, window_id, entity, …, outlier_score)`` of several models from one pass over the windows.
+
+    With ``seconds``, a last column of that name holds each row's share of the time that its model took for its batch.
+    """
     kept = ["window_id", entity, "start_time_step", "end_time_step", "y_true"]
     fields = [T.StructField("model", T.StringType())] + [windows.schema[c] for c in kept]
-    schema = T.StructType([*fields, T.StructField(scoring.SCORE, T.DoubleType())])
+    added = [scoring.SCORE, *(["seconds"] if seconds else [])]
+    schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in added]])
     fitted = dict(models)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = window_batch(batch)
             for name, model in fitted.items():
+                start = time.perf_counter()
                 scores = ((x - model.reconstruct(x)) ** 2).mean(axis=(1, 2)) if len(x) else np.empty(0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(x), type=pa.string()), *[batch.column(c) for c in kept], pa.array(scores, type=pa.float64())],
-                    names=["model", *kept, scoring.SCORE],
-                )
+                share = np.full(len(x), (time.perf_counter() - start) / max(len(x), 1))
+                columns = [pa.array([name] * len(x), type=pa.string()), *[batch.column(c) for c in kept]]
+                columns += [pa.array(v, type=pa.float64()) for v in (scores, share)[: len(added)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["model", *kept, *added])
 
     scored = windows.select(*kept, "X").mapInArrow(work, schema)
     return scored.withColumn("y_true", F.coalesce("y_true", F.lit(labels.UNLABELLED)))
@@ -285,6 +291,8 @@ def fit_and_threshold(
         if train_windows is not None:
             manifest.verify(train_windows, "train")
     seconds = dict(training_seconds or {})
+    if not all(hasattr(model, "reconstruct") for model in models.values()):
+        train_windows = once(train_windows)  # every fit reads them at least once
     fitted: dict[str, object] = {}
     for name, model in models.items():
         if hasattr(model, "reconstruct"):
@@ -337,21 +345,15 @@ def evaluate(
 ) -> Evaluation:
     """Score a split, flag windows and entities by each model's threshold, and measure entities.
 
-    Every model's window scores are stored on their own, which gives its
-    inference time, and later steps read the stored scores. With a manifest, the
-    windows are verified first.
+    One pass over the windows scores all models; later steps read the stored
+    scores. A model's inference time is the sum over all tasks of what its
+    reconstruction took. With a manifest, the windows are verified first.
     """
     _check_score(score_col)
     if manifest is not None:
         manifest.verify(windows, split)
-    spark = windows.sparkSession
-    seconds: dict[str, float] = {}
-    parts = []
-    for name, model in models.items():
-        start = time.time()
-        parts.append(_stored(score_models(windows, {name: model}, entity), _below(out_dir, "scores", split, name)))
-        seconds[name] = round(time.time() - start, 3)
-    scored = reduce(DataFrame.unionByName, parts)
+    timed = _stored(score_models(windows, models, entity, seconds=True), _below(out_dir, "scores", split))
+    scored = timed.drop("seconds")
     flagged = scoring.classify(scored, thresholds=limits, by=["model"])
     rolled = scoring.aggregate_entities(
         flagged, entity, by=["model"], min_windows=min_windows, max_group_rows=max_group_rows
@@ -359,12 +361,12 @@ def evaluate(
     entities = checkpointed(scoring.classify(rolled, thresholds=limits, by=["model"], score=score_col))
     counts = metrics.binary_metrics(entities, by=["model"])
     ranking = metrics.ranking_metrics(entities, score_col, by=["model"], max_group_rows=max_group_rows)
-    times = local_table(spark, list(seconds.items()), "model string, inference_time_seconds double")
+    times = timed.groupBy("model").agg(F.round(F.sum("seconds"), 3).alias("inference_time_seconds"))
     # One row per model on every side.
     table = (
         counts.join(ranking, "model", "left")
         .join(limits.select("model", "threshold", "training_time_seconds"), "model", "left")
-        .join(F.broadcast(times), "model", "left")
+        .join(times, "model", "left")
         .withColumn("split", F.lit(split))
         .withColumn("level", F.lit(ENTITY_LEVEL))
     )
