@@ -120,6 +120,17 @@ def content_hash(df: DataFrame) -> DataFrame:
     return sums.select("n_rows", F.substring(F.sha2(text, 256), 1, DIGEST_CHARS).alias("content_hash"))
 
 
+def portable_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(n_rows, digest)`` that any engine with MD5 can repeat: the sum over all rows of the first 15 hex digits.
+
+    A row is its columns as text, joined by a bar; a null is an empty text. For columns whose text is the same
+    everywhere: integers, strings, dates.
+    """
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns or df.columns]
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest"))
+
+
 def settings_text(settings: Mapping[str, Any]) -> str:
     """Canonical JSON: sorted keys, no spaces."""
     return json.dumps(dict(settings), sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str)

@@ -7,7 +7,8 @@ from trajlens.plans.steps import (
     fit_and_threshold,
     prepare,
     profile,
+    report_rows,
     score_models,
 )
 
-__all__ = ["PrepareConfig", "Prepared", "evaluate", "fit_and_threshold", "prepare", "profile", "score_models"]
+__all__ = ["PrepareConfig", "Prepared", "evaluate", "fit_and_threshold", "prepare", "profile", "report_rows", "score_models"]

@@ -103,6 +103,32 @@ def profile(
     return reports
 
 
+# Columns of reports that say what a row is about; all others are values.
+_ABOUT = ("ordinal", "column", "dtype", "class_label", "label_column", "feature", "feature_a", "feature_b", "bin")
+
+
+def report_rows(reports: Mapping[str, DataFrame]) -> DataFrame:
+    """All reports of a profile as one table ``(report, source, key, metric, value)``.
+
+    ``key`` joins what a row is about by a bar. A report without values has the metric ``listed``.
+    """
+    parts = []
+    for name, df in reports.items():
+        about = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _ABOUT if c in df.columns]
+        values = [c for c in df.columns if c not in (*_ABOUT, "source")]
+        pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in values]
+        listed = F.struct(F.lit("listed").alias("metric"), F.lit(1.0).alias("value"))
+        parts.append(
+            df.select(
+                F.lit(name).alias("report"),
+                (F.col("source") if "source" in df.columns else F.lit(None).cast("string")).alias("source"),
+                F.concat_ws("|", *about).alias("key"),
+                F.inline(F.array(*(pairs or [listed]))),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- prepare ---------------------------------------------------------------
 
 
