@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajlens.models.batches import window_batch
-from trajlens.operators.ordering import checkpointed, local_table, once, settled
+from trajlens.operators.ordering import checkpointed, local_table, once
 
 # Training defaults.
 EPOCHS = 20
@@ -481,14 +481,15 @@ def _run_epoch(train, state, steps, shapes, batch_size, learning_rate, seed) ->
             yield run.result()
 
     schema = "bucket int, rows long, steps long, total double, state array<double>"
-    done = settled(train.mapInArrow(work, schema))
-    # One state at a time reaches the driver.
-    averaged, rows, total, most = np.zeros(len(state)), 0, 0.0, 0
-    for r in done.orderBy("bucket").toLocalIterator():
-        averaged += np.asarray(r["state"]) * r["rows"]
-        rows, total, most = rows + r["rows"], total + r["total"], max(most, r["steps"])
-    if not rows:
+    # The driver holds one state per bucket, as Arrow numbers.
+    done = train.mapInArrow(work, schema).toArrow()
+    if not done.num_rows:
         raise ValueError("the window table is empty")
+    counts, moved, totals = (done.column(c).to_numpy() for c in ("rows", "steps", "total"))
+    averaged, states = np.zeros(len(state)), done.column("state")
+    for i in np.argsort(done.column("bucket").to_numpy()):
+        averaged += states[int(i)].values.to_numpy() * counts[i]
+    rows, most, total = int(counts.sum()), int(moved.max()), float(np.sort(totals).sum())
     return averaged / rows, steps + most, total / rows
 
 

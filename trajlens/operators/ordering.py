@@ -21,6 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Largest group that one task may sort or hold.
 MAX_GROUP_ROWS = 1_000_000
+# Longest list of large groups that is held in a plan.
+LISTED_GROUPS = 10_000
 
 # Plans that cost no more than reading their input.
 STORED_PLANS = ("Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation")
@@ -104,13 +106,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def large_groups(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_GROUP_ROWS) -> DataFrame | None:
     """``(keys…, _group_rows)`` of the groups above ``max_rows``, or None if there are none.
 
-    The groups are counted once. The list is a stored table, and Spark chooses how to join it.
+    A list of at most ``LISTED_GROUPS`` becomes part of the plan. A longer one is a stored table, and Spark chooses
+    how to join it.
     """
     if max_rows is None:
         return None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_group_rows"))
-    large = settled(sizes.where(F.col("_group_rows") > max_rows))
-    return None if large.isEmpty() else large
+    large = sizes.where(F.col("_group_rows") > max_rows)
+    rows = large.limit(LISTED_GROUPS + 1).collect()
+    if len(rows) > LISTED_GROUPS:
+        return settled(large)
+    return local_table(df.sparkSession, rows, sizes.schema) if rows else None
 
 
 def _pick(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

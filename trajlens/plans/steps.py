@@ -317,7 +317,7 @@ def fit_and_threshold(
         if train_windows is not None:
             manifest.verify(train_windows, "train")
     seconds = dict(training_seconds or {})
-    if not all(hasattr(model, "reconstruct") for model in models.values()):
+    if sum(not hasattr(model, "reconstruct") for model in models.values()) > 1:
         train_windows = once(train_windows)  # every fit reads them at least once
     fitted: dict[str, object] = {}
     for name, model in models.items():
