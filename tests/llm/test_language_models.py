@@ -14,7 +14,7 @@ from checks import SF_DIR
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from trajlens.llm import class_lm
+from trajlens.llm import class_lm, language_id
 from trajlens.llm.language_id import fit_languages, predict_languages
 from trajlens.llm.toxicity import learn_lexicon, score_toxicity
 
@@ -134,3 +134,13 @@ def test_scores_of_awkward_rows(awkward):
     assert class_lm.score_texts(awkward.limit(0), awkward).count() == 0
     untrained = class_lm.score_texts(awkward, awkward.limit(0)).collect()
     assert {r["n_known"] for r in untrained} == {0} and {r["train_tokens"] for r in untrained} == {0}
+
+
+def test_texts_without_letters_have_no_language(spark):
+    """Superscripts, fractions, circled and Roman numerals are no letters."""
+    rows = [("en", "the cat sat on the mat"), ("de", "der hund lief über die straße")] * 5
+    model = language_id.fit_languages(spark.createDataFrame(rows, "lang string, text string"))
+    texts = ["½ ① ²", "Ⅷ", "12 _ -", "", None, "the² cat", "①die straße"]
+    found = language_id.predict_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    assert [r["lang_pred"] for r in found.orderBy("doc_id").collect()] == ["und"] * 5 + ["en", "de"]
+    assert language_id.words_of("m²x ⅷ é1b") == ["m", "x", "é", "b"]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +76,22 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> Dat
     named = stored(gone.select(F.xxhash64("doc_id", "text_key").alias("_gone")).distinct())
     row = F.xxhash64(docs[id_col], text_key(docs[text_col]))
     return docs.join(named, row == named["_gone"], "left_anti")
+
+
+def release_memory() -> None:
+    """Give freed memory of a Python worker back to the system; the worker stays idle through later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same function of batches, which releases memory when its input has ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release_memory()
+
+    return run

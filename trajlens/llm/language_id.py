@@ -29,7 +29,13 @@ UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters. Digits such as the superscript two or the Roman numeral eight are none, though the pattern takes them."""
+    if not text:
+        return []
+    words = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for word in words for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def grams_at(word: str, end: int):

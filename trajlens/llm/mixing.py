@@ -23,6 +23,8 @@ SEED, SHARE = 5, 0.5
 TOLERANCE, MOST_ROUNDS = 1e-4, 200
 # Targets are the present shares to this power, so large groups are damped and none vanishes.
 DAMPING = 0.5
+# Rounds between two looks at the margins.
+LOOK_ROUNDS = 4
 UNKNOWN = ""
 
 
@@ -84,11 +86,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = N
             scaled = (F.col("weight") * F.coalesce("_factor", F.lit(0.0))).alias("weight")
             fitted = fitted.join(factor, margin, "left").select(*margins, "tokens", scaled)
         fitted = stored(fitted)  # each margin reads the table twice, so a round is as long as a plan may grow
-        if rounds is None:
+        if rounds is None and (done % LOOK_ROUNDS == 0 or done == MOST_ROUNDS):
             residual = _residual(fitted, wanted)
             if residual <= TOLERANCE:
                 break
-            if done == MOST_ROUNDS or residual > before * (1 - 1e-4):
+            if done == MOST_ROUNDS or residual > before * (1 - 1e-4) ** LOOK_ROUNDS:
                 warnings.warn(f"raking ended after {done} rounds with margins off by up to {residual:.2%}", stacklevel=2)
                 break
             before = residual

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import parallelism, stored, text_key, without
+from trajlens.llm.common import parallelism, release_memory, releasing, stored, text_key, without
 from trajlens.llm.components import connected_components
 from trajlens.llm.hashing import SHINGLE, mix, shingle_sets
 
 PERCENT = 75
 # Shingles that one task packs at a time, and that one packing bucket holds on average.
-PACK_SHINGLES, BUCKET_SHINGLES = 1_500_000, 1_500_000
+PACK_SHINGLES, BUCKET_SHINGLES = 750_000, 1_500_000
 PACK_SETS = 60_000
 # Fragments of the global order in which overlaps are counted apart.
 FRAGMENT_BITS = 2
@@ -73,7 +73,7 @@ def shingle_nodes(docs: DataFrame, id_col: str, text_col: str, size: int = SHING
                 names=["doc_id", "text_key", "node", "check", "n_shingles"],
             )
 
-    return source.mapInArrow(digest, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {_NODE}")
+    return source.mapInArrow(releasing(digest), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {_NODE}")
 
 
 def _rows(columns: list[list], names: list[str], kinds: list) -> pa.RecordBatch:
@@ -121,7 +121,18 @@ def _pack(docs: DataFrame, text_col: str, size: int, bits: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(pack, _PACKED)
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(releasing(pack), _PACKED)
+
+
+def _released(work):
+    """The same function of a group, which releases memory after it."""
+
+    def run(key, table):
+        result = work(key, table)
+        release_memory()
+        return result
+
+    return run
 
 
 def _unpack(table: pa.Table, columns: dict[str, type]) -> list[np.ndarray]:
@@ -178,7 +189,7 @@ def _shared_shingles(packed: DataFrame, bits: int, parts: int) -> DataFrame:
                 column.append(value)
         return pa.Table.from_batches([_rows(out, names, kinds)])
 
-    return packed.groupBy("bucket").applyInArrow(count, _SHARED)
+    return packed.groupBy("bucket").applyInArrow(_released(count), _SHARED)
 
 
 def _suspects(shared: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +219,7 @@ def _suspects(shared: DataFrame, percent: int) -> DataFrame:
                     column.append(value)
         return pa.Table.from_batches([_rows(out, names, kinds)])
 
-    return shared.groupBy("part").applyInArrow(choose, _SUSPECT)
+    return shared.groupBy("part").applyInArrow(_released(choose), _SUSPECT)
 
 
 def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +277,7 @@ def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
         return pa.table({"a": names[codes // len(names)], "b": names[codes % len(names)]})
 
     rows = placed.join(dealt, "shingle").select("pivot", "shard", "shingle", "node", "component", "size", "rest")
-    return rows.groupBy("pivot", "shard").applyInArrow(pairs_of, "a long, b long").distinct()
+    return rows.groupBy("pivot", "shard").applyInArrow(_released(pairs_of), "a long, b long").distinct()
 
 
 def _shared_lists(rows: DataFrame) -> DataFrame:

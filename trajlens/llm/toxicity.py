@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlens.llm.common import remainder, stored, text_key
+from trajlens.llm.common import releasing, remainder, stored, text_key
 
 # Bound of the fit: expected labelled rows used.
 FIT_ROWS = 40_000
@@ -77,7 +77,7 @@ def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str =
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     kept = (
-        rows.mapInArrow(count, "unit string, clean long, toxic long")
+        rows.mapInArrow(releasing(count), "unit string, clean long, toxic long")
         .groupBy("unit")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where(F.col("toxic") >= MIN_DOCS)
@@ -159,7 +159,7 @@ def text_features(docs: DataFrame, lexicon: dict[str, float], id_col: str = "doc
             )
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(compute, f"doc_id {kind}, text_key long, features array<double>")
+    return source.mapInArrow(releasing(compute), f"doc_id {kind}, text_key long, features array<double>")
 
 
 def score_toxicity(
