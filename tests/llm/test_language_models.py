@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from checks import SF_DIR
 from pyspark.sql import functions as F
@@ -126,6 +127,72 @@ def test_exchange_raises_the_likelihood():
     assert len({label[i] for i in (0, 2, 4)}) == 1 and len({label[i] for i in (1, 3, 5)}) == 1 and label[0] != label[1]
 
 
+def test_best_class_raises_the_likelihood_most():
+    """Against the likelihood of the whole table with the word in each class; the classes beside it stand still."""
+    rng = np.random.default_rng(3)
+    table = rng.integers(50, 90, (6, 6)).astype(float)
+    word, beside, n = np.repeat(np.arange(40), 3), np.tile([0, 0, 0], 40), rng.integers(1, 12, 120)
+    beside[0::3], beside[1::3], beside[2::3] = 4, rng.integers(0, 4, 40), 6 + rng.integers(0, 4, 40)
+    f = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    found = class_lm.best_classes(table, word, beside, n, np.full(40, 4))  # so far among the rare words
+    for w in range(40):
+        value = []
+        for c in range(4):
+            moved, rows, columns = table.copy(), table.sum(axis=1), table.sum(axis=0)
+            for b, k in zip(beside[3 * w : 3 * w + 3], n[3 * w : 3 * w + 3]):
+                if b < 6:
+                    moved[b, c] += k
+                    columns[c] += k
+                else:
+                    moved[c, b - 6] += k
+                    rows[c] += k
+            value.append(f(moved) - f(rows) - f(columns))
+        assert value[found[w]] == pytest.approx(max(value))
+
+
+@pytest.mark.parametrize("frequent", [50_000, 150])
+def test_scores_follow_the_classes_by_brute_force(spark, texts, monkeypatch, frequent):
+    for name, value in (("FREQUENT", frequent), ("PACK_PAIRS", 3_000), ("BUCKET_WORDS", 4_000), ("HELD_CELLS", 5_000), ("SLICE_WORDS", 40)):
+        monkeypatch.setattr(class_lm, name, value)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    training = docs.where("doc_id % 3 > 0")
+    fitted = class_lm.fit_classes(training)
+    monkeypatch.setattr(class_lm, "fit_classes", lambda *_: fitted)
+    scores = {r["doc_id"]: r["score"] for r in class_lm.score_texts(docs, training).collect()}
+
+    class_of, size = {}, len(fitted.model.size)
+    for row in fitted.classed.collect():
+        class_of.update(zip(np.frombuffer(row["words"], np.uint64).tolist(), np.frombuffer(row["labels"], np.uint16).tolist()))
+    history = dict(zip(fitted.frequent.tolist(), fitted.label.tolist()))
+    class_of.update(history)
+    split = {k: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) for k, t in texts.items()}
+    every = sorted({w for ws in split.values() for w in ws})
+    code = dict(zip(every, class_lm.word_hashes(pa.array(every))[0].tolist()))
+    counts = Counter(code[w] for k in texts if k % 3 for w in split[k])
+    rest, end = size - 2, size - 1
+    assert all((class_of[h] < rest) == (n >= class_lm.MIN_COUNT) for h, n in counts.items())
+
+    def steps(words):
+        before = [end] + [history.get(code[w], rest) for w in words]
+        return list(zip(before, [class_of.get(code[w], rest) for w in words] + [end]))
+
+    table = np.zeros((size, size))
+    for k in texts:
+        for pair in steps(split[k]) if k % 3 else ():
+            table[pair] += 1
+    own = (table.sum(axis=0) + 1) / (table.sum() + size)
+    chance = (table + class_lm.WEIGHT * own) / (table.sum(axis=1, keepdims=True) + class_lm.WEIGHT)
+    singles = [n for n in counts.values() if n < class_lm.MIN_COUNT]
+
+    def emission(w):
+        n, c = counts.get(code[w], 0), class_of.get(code[w], rest)
+        return n / table[:, c].sum() if c < rest else (n - class_lm.DISCOUNT if n else class_lm.DISCOUNT * len(singles)) / sum(singles)
+
+    for k, words in split.items():
+        expected = sum(math.log10(chance[p]) for p in steps(words)) + sum(math.log10(emission(w)) for w in words)
+        assert scores[k] == pytest.approx(expected)
+
+
 def test_scores_of_awkward_rows(awkward):
     found = class_lm.score_texts(awkward, awkward).collect()
     texts = {i: r["text"] or "" for i, r in enumerate(awkward.collect())}
