@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trajlens.llm.common import parallelism, stored
 from trajlens.llm.hashing import word_hashes
@@ -331,8 +333,11 @@ def _beside(sequence: np.ndarray, before: np.ndarray, label: np.ndarray, asked:
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-    return every, np.bincount(inverse, np.concatenate(counts), len(every)).astype(np.int64)
+    codes, counts = np.concatenate(codes), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(codes, kind="stable")  # fast for a few sorted runs
+    codes, counts = codes[order], counts[order]
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[starts], np.add.reduceat(counts, starts) if len(codes) else counts
 
 
 def _frequent_cells(texts: DataFrame, words: np.ndarray, label: np.ndarray) -> DataFrame:
@@ -345,22 +350,23 @@ def _frequent_cells(texts: DataFrame, words: np.ndarray, label: np.ndarray) -> D
     def count(batches):
         known, labels = np.frombuffer(shared.value[0], np.uint64), np.frombuffer(shared.value[1], np.int64)
         width = 2 * (int(labels[-1]) + 1)
-        codes, counts, total = [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        summed, fresh, total = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 sequence, before, _ = _sequence(batch.column(0).slice(at, 1000), known)
                 where, beside = _beside(sequence, before, labels, np.ones(len(sequence), bool))
-                new, n = np.unique(sequence[where] * width + beside, return_counts=True)
-                codes.append(new)
-                counts.append(n)
-                total += len(new)
-                if total >= HELD_CELLS:
-                    merged = _summed(codes, counts)
-                    codes, counts, total = [merged[0]], [merged[1]], 0
-                    if len(merged[0]) >= HELD_CELLS:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged], names=["code", "n"])
-                        codes, counts = [np.zeros(0, np.int64)], [np.zeros(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(codes, counts)], names=["code", "n"])
+                fresh.append(sequence[where] * width + beside)
+                total += len(where)
+                if total >= 2 * HELD_CELLS:
+                    codes, n = np.unique(np.concatenate(fresh), return_counts=True)
+                    summed, fresh, total = _summed([summed[0], codes], [summed[1], n]), [], 0
+                    if len(summed[0]) >= HELD_CELLS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed], names=["code", "n"])
+                        summed = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if fresh:
+            codes, n = np.unique(np.concatenate(fresh), return_counts=True)
+            summed = _summed([summed[0], codes], [summed[1], n])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed], names=["code", "n"])
 
     return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -603,8 +609,13 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     # Rows that agree in id and text share a key and are asked for once; different ones do so with a chance of 2^-64.
     numbered = source.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
-    def local(batches, packing):
-        """Sums over what every task knows; with ``packing`` instead the rare words of the texts, by bucket."""
+    kind = source.schema["doc_id"].dataType.simpleString()
+    sums_of = f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
+    schema = T.StructType.fromDDL(f"{sums_of}, {_RARE}")
+    arrow = to_arrow_schema(schema)
+
+    def local(batches):
+        """Rows with the sums over what every task knows, and rows with the other words of the texts, by bucket."""
         words, bases, emissions, labels, transition = (
             np.frombuffer(x, k) for x, k in zip(shared.value, (np.uint64, float, float, np.int64, float))
         )
@@ -614,42 +625,41 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
         bases, emissions = np.append(bases, (0.0, base_end)), np.append(emissions, (0.0, 0.0))
         held: list[tuple[np.ndarray, ...]] = []
         total, met = 0, set()
+
+        def padded(batch):
+            given = {name: batch.column(name) for name in batch.schema.names}
+            columns = [given[f.name].cast(f.type) if f.name in given else pa.nulls(len(batch), f.type) for f in arrow]
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                if packing:
-                    keys = part.column("row").to_pylist()
-                    fresh = [key not in met and not met.add(key) for key in keys]
-                    part = part.filter(pa.array(fresh, pa.bool_()))
-                    if not len(part):
-                        continue
                 sequence, before, hashes = _sequence(part.column("text"), words)
                 lengths = np.diff(np.flatnonzero(np.append(True, sequence == len(words) + 1)))
                 text = np.repeat(np.arange(len(part)), lengths)
                 rare = sequence == len(words)
-                if packing:
-                    held.append((part.column("row").to_numpy()[text[rare]], labels[before[rare]], hashes[rare]))
-                    total += int(rare.sum())
-                    if total >= PACK_PAIRS:
-                        yield _packed_by_bucket(held, bits, _RARE_NAMES, (np.int64, np.uint16, np.uint32))
-                        held, total, met = [], 0, set()
-                    continue
                 steps = np.where(rare, 0.0, transition[labels[before], labels[sequence]])
                 n_known = np.bincount(text, sequence < len(words), len(part)).astype(np.int64) + (n_texts > 0)
                 b, e = (np.bincount(text, v, len(part)) for v in (bases[sequence], steps + emissions[sequence]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array(lengths), pa.array(n_known), pa.array(b), pa.array(e)],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score"],
+                yield padded(
+                    pa.RecordBatch.from_arrays(
+                        [part.column("row"), part.column("doc_id"), pa.array(lengths), pa.array(n_known), pa.array(b), pa.array(e)],
+                        names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score"],
+                    )
                 )
+                fresh = np.array([key not in met and not met.add(key) for key in part.column("row").to_pylist()], bool)
+                ask = np.flatnonzero(rare & fresh[text])
+                held.append((part.column("row").to_numpy()[text[ask]], labels[before[ask]], hashes[ask]))
+                total += len(ask)
+                if total >= PACK_PAIRS:
+                    yield padded(_packed_by_bucket(held, bits, _RARE_NAMES, (np.int64, np.uint16, np.uint32)))
+                    held, total, met = [], 0, set()
         if total:
-            yield _packed_by_bucket(held, bits, _RARE_NAMES, (np.int64, np.uint16, np.uint32))
+            yield padded(_packed_by_bucket(held, bits, _RARE_NAMES, (np.int64, np.uint16, np.uint32)))
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    known = numbered.mapInArrow(
-        lambda batches: local(batches, False),
-        f"row long, doc_id {kind}, n_tokens long, n_known long, base_score double, score double",
-    )
-    rare = numbered.mapInArrow(lambda batches: local(batches, True), _RARE)
+    scored = stored(numbered.mapInArrow(local, schema))
+    known = scored.where("bucket IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base_score", "score")
+    rare = scored.where("bucket IS NOT NULL").select("bucket", *_RARE_NAMES)
 
     def look_up(key, held, asked):
         words, n, labels = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
@@ -730,7 +740,11 @@ def _cells(batches):
 def _packed_by_bucket(held: list[tuple[np.ndarray, ...]], bits: int, names: tuple, kinds: tuple) -> pa.RecordBatch:
     """Distinct keys, the last of whose columns is a word, and how often each occurs, by the word's bucket."""
     columns = [np.concatenate(x) for x in zip(*held)]
-    order = np.lexsort(columns)
+    if len(columns) > 2:  # texts come in order, so one number sorts them and the class
+        text = np.cumsum(np.append(False, columns[0][1:] != columns[0][:-1]))[: len(columns[0])]
+        order = np.lexsort((text * 2**16 + columns[1], columns[2]))
+    else:
+        order = np.lexsort(columns)
     columns = [x[order] for x in columns]
     fresh = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in columns], axis=0))) if len(order) else np.zeros(0, bool)
     at = np.flatnonzero(fresh)
