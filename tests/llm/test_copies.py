@@ -9,9 +9,10 @@ import re
 import pyarrow as pa
 import pytest
 from checks import SF_DIR
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from trajlens.llm import exact_dedup, fingerprints, ngram_join
+from trajlens.llm import common, exact_dedup, fingerprints, ngram_join
 from trajlens.llm.components import connected_components
 from trajlens.llm.hashing import shingle_sets, word_hashes
 
@@ -118,6 +119,16 @@ def test_join_of_awkward_rows(awkward):
     assert ngram_join.similar_documents(awkward.limit(0)).count() == 0
 
 
+def test_rows_are_dropped_by_id_and_text(spark):
+    """Null ids match each other; the other texts of an id stay, and so do equal texts of other ids."""
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, None), (3, None), (3, "")], "doc_id long, text string")
+    gone = docs.where("doc_id = 1 AND text = 'a' OR doc_id IS NULL AND text = 'a' OR doc_id = 3 AND text = ''")
+    left = common.without(docs, gone.select("doc_id", common.text_key(F.col("text")).alias("text_key")), "doc_id", "text")
+    assert sorted(left.collect(), key=str) == sorted([(1, "b"), (2, "a"), (None, None)], key=str)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Cross" not in plan
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(20)] + [(50, i) for i in range(51, 60)] + [(7, 7), (70, 71), (71, 70), (None, 3)]
     found = connected_components(spark.createDataFrame(links, "a long, b long")).collect()

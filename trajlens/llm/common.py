@@ -70,12 +70,13 @@ def text_key(text: Column) -> Column:
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that are not among ``gone``, a table ``(doc_id, text_key)``; null ids match each other.
 
-    Rows are told apart by 64 bits of both. The stored list of rows to drop is as
-    small as it can be, so that Spark broadcasts it while its size allows.
+    Rows are told apart by their id itself and 64 bits of their text, so that only other
+    texts of the same id could be mixed up. The list of rows to drop is stored, so that
+    Spark broadcasts it only while its size allows.
     """
-    named = stored(gone.select(F.xxhash64("doc_id", "text_key").alias("_gone")).distinct())
-    row = F.xxhash64(docs[id_col], text_key(docs[text_col]))
-    return docs.join(named, row == named["_gone"], "left_anti")
+    named = stored(gone.select(F.col("doc_id").alias("_gone_doc"), F.col("text_key").alias("_gone_text")).distinct())
+    same = docs[id_col].eqNullSafe(named["_gone_doc"]) & (text_key(docs[text_col]) == named["_gone_text"])
+    return docs.join(named, same, "left_anti")
 
 
 def release_memory() -> None:
