@@ -105,6 +105,33 @@ def test_join_agrees_with_brute_force_on_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PACK_SHINGLES", 700)
     monkeypatch.setattr(ngram_join, "BUCKET_SHINGLES", 300)
     monkeypatch.setattr(ngram_join, "DEALT_ROWS", 50)
+    monkeypatch.setattr(ngram_join, "COMMON", 4)
+    found = [tuple(r)[:3] for r in ngram_join.similar_documents(docs).collect()]
+    assert sorted(found) == sorted(brute_components(rows))
+
+
+def test_heads_of_linked_sets_share_enough():
+    rng = random.Random(9)
+    for _ in range(4000):
+        common, own, other = rng.randrange(1, 60), rng.randrange(25), rng.randrange(25)
+        if 100 * common < 75 * (common + own + other):
+            continue
+        numbers = rng.sample(range(10**6), common + own + other)
+        one, two = sorted(numbers[: common + own]), sorted(numbers[:common] + numbers[common + own :])
+        (a, need_a), (b, need_b) = ngram_join._head(len(one), 75), ngram_join._head(len(two), 75)
+        assert len(set(one[:a]) & set(two[:b])) >= max(need_a, need_b)
+
+
+def test_join_tells_sets_with_one_digest_apart(spark, monkeypatch):
+    whole = ngram_join._node
+
+    def by_size(shingles):
+        return len(shingles), whole(shingles)[1]
+
+    rows = [*near_copies(40, 40, 5, 3), *[(100 + i, t) for i, t in near_copies(40, 40, 6, 3)], (200, "a b"), (201, "c"), (202, "a B")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "_node", by_size)
+    monkeypatch.setattr(ngram_join, "_name", lambda s, clashing: by_size(s)[1 if len(s) in clashing else 0])
     found = [tuple(r)[:3] for r in ngram_join.similar_documents(docs).collect()]
     assert sorted(found) == sorted(brute_components(rows))
 

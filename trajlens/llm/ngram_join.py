@@ -4,14 +4,17 @@ Shingles are put into one global order (that of their 64-bit hashes) which is cu
 into fragments. Fragments are processed apart from each other:
 
 1. Every text becomes its set of shingle hashes; equal sets become one node.
-2. Each task packs its sets by fragment of the order, one row per fragment, so one
-   shuffle brings together all holders of a shingle. A fragment counts in how many
-   sets each of its shingles occurs; shingles of one set alone cannot add to any
-   overlap and end there.
-3. What is left is put together per node, rarest shingle first. A node all of whose
+2. Of each set only the head, its first third or so in the global order, is packed
+   by fragment, so one shuffle brings together all heads that hold a shingle. Linked
+   sets share a known part of their heads (see ``_head``); a set whose head shares
+   less with all others together has no partner and is done.
+3. The sets that are left are packed whole, one row per fragment. A fragment counts
+   in how many sets each of its shingles occurs; shingles of one set alone cannot add
+   to any overlap and end there.
+4. What is left is put together per node, rarest shingle first. A node all of whose
    partners would need more shared shingles than it has is done. The others keep
    the prefix in which any partner must share a shingle.
-4. Nodes that share a prefix shingle are compared: the overlap is counted fragment
+5. Nodes that share a prefix shingle are compared: the overlap is counted fragment
    by fragment, and the partial overlaps are summed per pair.
 
 A list of nodes that share a prefix shingle can hold thousands of near copies,
@@ -38,6 +41,10 @@ PERCENT = 75
 # Shingles that one task packs at a time, and that one packing bucket holds on average.
 PACK_SHINGLES, BUCKET_SHINGLES = 750_000, 1_500_000
 PACK_SETS = 60_000
+# Percent of a set that its head holds beyond the part in which any partner must share a shingle.
+SPARE = 10
+# A shingle that so many heads of one task hold is counted in the task and sent once.
+COMMON = 16
 # Fragments of the global order in which overlaps are counted apart.
 FRAGMENT_BITS = 2
 # Rows of one pivot's lists that are dealt to one group.
@@ -45,6 +52,7 @@ DEALT_ROWS = 200_000
 _LOW = 6  # bytes of a shingle that are sent; the bucket stands for the rest
 
 _NODE = "text_key long, node long, check long, n_shingles int"
+_HEADS = "bucket int, nodes binary, which binary, shingles binary, known binary, counts binary"
 _PACKED = "bucket int, nodes binary, sizes binary, which binary, shingles binary"
 _SHARED = "part int, nodes binary, sizes binary, which binary, shingles binary, sets binary"
 _SUSPECT = "node long, size int, alone int, fragment int, shingles array<long>"
@@ -58,6 +66,24 @@ def _node(shingles: np.ndarray) -> tuple[int, int]:
     return pair.view(np.int64).tolist()
 
 
+def _name(shingles: np.ndarray, clashing: frozenset[int]) -> int:
+    """The first digest of a set, or the second where different sets share the first."""
+    node, check = _node(shingles)
+    return check if node in clashing else node
+
+
+def _head(n: int, percent: int) -> tuple[int, int]:
+    """How many of a set's ``n`` shingles its head holds, and how many of these it shares with others if it has a partner.
+
+    Heads hold the share h of their sets. Of two sets with an overlap of at least the
+    share t of either, let A be the one whose head ends first. At most (1 - h) |A| common
+    shingles lie behind it, and those before lie in both heads: (t - 1 + h) of the larger
+    set at least, and so of each.
+    """
+    spare = min(SPARE, percent)
+    return -(-(100 - percent + spare) * n // 100), max(1, -(-spare * n // 100))
+
+
 def shingle_nodes(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """``(doc_id, text_key, node, check, n_shingles)``: documents of equal shingle sets share a node."""
     source = docs.select(
@@ -80,48 +106,127 @@ def _rows(columns: list[list], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _pack(docs: DataFrame, text_col: str, size: int, bits: int) -> DataFrame:
+def _packs(batches, size: int, clashing: frozenset[int], length):
+    """A task's sets in packs ``{node: shingles}``, cut to ``length(n)`` shingles; a set that a pack repeats is left out."""
+    held, total = {}, 0
+    for batch in batches:
+        for shingles in shingle_sets(batch.column(0), size):
+            if not len(shingles):
+                continue
+            node = _name(shingles, clashing)
+            if node in held:
+                continue
+            held[node] = shingles[: length(len(shingles))]
+            total += len(held[node])
+            if total >= PACK_SHINGLES or len(held) >= PACK_SETS:
+                yield held
+                held, total = {}, 0
+    if held:
+        yield held
+
+
+def _slices(shingles: np.ndarray, which: np.ndarray, bits: int):
+    """``(bucket, which, low bytes)`` of the shingles in each bucket of the order."""
+    buckets = shingles >> np.uint64(64 - bits) if bits else np.zeros(len(shingles), np.uint64)
+    buckets = buckets.astype(np.uint16 if bits <= 16 else np.uint32)
+    order = np.argsort(buckets, kind="stable")
+    buckets, shingles, which = buckets[order], shingles[order], which[order]
+    edges = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
+    low = shingles.view(np.uint8).reshape(-1, 8)[:, :_LOW]
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(buckets)]):
+        yield int(buckets[a]), which[a:b], low[a:b].tobytes()
+
+
+def _whole(low: np.ndarray, bucket: int, bits: int) -> np.ndarray:
+    """Shingles from their low bytes and their bucket."""
+    wide = np.zeros((len(low) // _LOW, 8), np.uint8)
+    wide[:, :_LOW] = low.reshape(-1, _LOW)
+    shingle = wide.view(np.uint64).ravel()
+    if bits:
+        top = np.uint64(64 - bits)
+        shingle = (shingle & ((np.uint64(1) << min(top, np.uint64(8 * _LOW))) - np.uint64(1))) | (np.uint64(bucket) << top)
+    return shingle
+
+
+def _pack_heads(texts: DataFrame, size: int, bits: int, percent: int, clashing: frozenset[int]) -> DataFrame:
+    """The heads of all sets, by bucket. An entry beyond the last node stands for a shingle whose holders are counted already."""
+    names, kinds = ["bucket", "nodes", "which", "shingles", "known", "counts"], [pa.int32()] + [pa.binary()] * 5
+
+    def flush(held: dict):
+        nodes = np.array(list(held), np.int64)
+        shingles = np.concatenate(list(held.values()))
+        which = np.repeat(np.arange(len(nodes), dtype=np.uint16), [len(s) for s in held.values()])
+        order = np.argsort(shingles, kind="stable")
+        shingles, which = shingles[order], which[order]
+        starts = np.flatnonzero(np.concatenate(([True], shingles[1:] != shingles[:-1])))
+        runs = np.diff(np.append(starts, len(shingles)))
+        common = np.repeat(runs >= COMMON, runs)
+        known, counts = np.unique(which[common], return_counts=True)
+        once = starts[runs >= COMMON]
+        which[once] = len(nodes)
+        common[once] = False
+        rows = []
+        for bucket, at, low in _slices(shingles[~common], which[~common], bits):
+            present, local = np.unique(at, return_inverse=True)
+            rows.append([bucket, nodes[present[present < len(nodes)]].tobytes(), local.astype(np.uint16).tobytes(), low, b"", b""])
+        rows[len(held) % len(rows)][4:] = [nodes[known].tobytes(), counts.astype(np.uint32).tobytes()]
+        return _rows(list(zip(*rows)), names, kinds)
+
+    def pack(batches):
+        for held in _packs(batches, size, clashing, lambda n: _head(n, percent)[0]):
+            yield flush(held)
+
+    return texts.mapInArrow(releasing(pack), _HEADS)
+
+
+def _shared_in_heads(heads: DataFrame, bits: int) -> DataFrame:
+    """``(node, shared)``: how many shingles of its head a node shares; more, if at all, for a set that several tasks hold."""
+
+    def count(key, table):
+        known, counts, low = _unpack(table, {"known": np.int64, "counts": np.uint32, "shingles": np.uint8})
+        node, counted = [], []
+        for n, w in zip(table.column("nodes").to_pylist(), table.column("which").to_pylist()):
+            named, at = np.frombuffer(n, np.int64), np.frombuffer(w, np.uint16)
+            node.append(np.append(named, 0)[at])
+            counted.append(at == len(named))
+        node, counted = np.concatenate(node), np.concatenate(counted)
+        shingle = _whole(low, key[0].as_py(), bits)
+        order = np.lexsort((node, counted, shingle))
+        shingle, node, counted = shingle[order], node[order], counted[order]
+        fresh = counted.copy()
+        fresh[:1] = True
+        fresh[1:] |= (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1]) | counted[:-1]
+        shingle, node, counted = shingle[fresh], node[fresh], counted[fresh]
+        starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+        runs = np.diff(np.append(starts, len(shingle)))
+        shared = node[(np.repeat(runs, runs) >= 2) & ~counted]
+        names, at = np.unique(np.concatenate([known, shared]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([counts, np.ones(len(shared))]), len(names)).astype(np.int64)
+        return pa.table({"node": names, "shared": sums})
+
+    found = heads.groupBy("bucket").applyInArrow(_released(count), "node long, shared long")
+    return found.groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
+def _pack(texts: DataFrame, size: int, bits: int, clashing: frozenset[int]) -> DataFrame:
+    """Whole sets, by bucket."""
     names, kinds = ["bucket", "nodes", "sizes", "which", "shingles"], [pa.int32()] + [pa.binary()] * 4
 
     def flush(held: dict):
         nodes = np.array(list(held), np.int64)
         sizes = np.array([len(s) for s in held.values()], np.uint32)
-        shingles = np.concatenate(list(held.values()))
         which = np.repeat(np.arange(len(nodes), dtype=np.uint16), sizes)
-        buckets = shingles >> np.uint64(64 - bits) if bits else np.zeros(len(shingles), np.uint64)
-        buckets = buckets.astype(np.uint16 if bits <= 16 else np.uint32)
-        order = np.argsort(buckets, kind="stable")
-        buckets, shingles, which = buckets[order], shingles[order], which[order]
-        edges = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
-        out = [[] for _ in names]
-        low = shingles.view(np.uint8).reshape(-1, 8)[:, :_LOW]
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(buckets)]):
-            present, local = np.unique(which[a:b], return_inverse=True)
-            for column, value in zip(
-                out,
-                (int(buckets[a]), nodes[present].tobytes(), sizes[present].tobytes(), local.astype(np.uint16).tobytes(), low[a:b].tobytes()),
-            ):
-                column.append(value)
-        return _rows(out, names, kinds)
+        rows = []
+        for bucket, at, low in _slices(np.concatenate(list(held.values())), which, bits):
+            present, local = np.unique(at, return_inverse=True)
+            rows.append((bucket, nodes[present].tobytes(), sizes[present].tobytes(), local.astype(np.uint16).tobytes(), low))
+        return _rows(list(zip(*rows)), names, kinds)
 
     def pack(batches):
-        held, total = {}, 0
-        for batch in batches:
-            for shingles in shingle_sets(batch.column(0), size):
-                if not len(shingles):
-                    continue
-                node = _node(shingles)[0]
-                if node in held:
-                    continue
-                held[node] = shingles
-                total += len(shingles)
-                if total >= PACK_SHINGLES or len(held) >= PACK_SETS:
-                    yield flush(held)
-                    held, total = {}, 0
-        if held:
+        for held in _packs(batches, size, clashing, lambda n: n):
             yield flush(held)
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(releasing(pack), _PACKED)
+    return texts.mapInArrow(releasing(pack), _PACKED)
 
 
 def _released(work):
@@ -156,15 +261,9 @@ def _shared_shingles(packed: DataFrame, bits: int, parts: int) -> DataFrame:
     names, kinds = ["part", "nodes", "sizes", "which", "shingles", "sets"], [pa.int32()] + [pa.binary()] * 5
 
     def count(key, table):
-        bucket = np.uint64(key[0].as_py())
         (low,) = _unpack(table, {"shingles": np.uint8})
         node, size = _expand(table, np.uint16)
-        wide = np.zeros((len(node), 8), np.uint8)
-        wide[:, :_LOW] = low.reshape(-1, _LOW)
-        shingle = wide.view(np.uint64).ravel()
-        if bits:
-            top = np.uint64(64 - bits)
-            shingle = (shingle & ((np.uint64(1) << min(top, np.uint64(8 * _LOW))) - np.uint64(1))) | (bucket << top)
+        shingle = _whole(low, key[0].as_py(), bits)
         order = np.lexsort((node, shingle))
         shingle, node, size = shingle[order], node[order], size[order]
         fresh = np.ones(len(node), bool)
@@ -321,6 +420,10 @@ def _components(suspects: DataFrame, percent: int) -> DataFrame:
     return connected_components(first.unionByName(stored(rest)))
 
 
+def _bucket_bits(shingles: int) -> int:
+    return max(0, shingles // BUCKET_SHINGLES).bit_length()
+
+
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE
 ) -> DataFrame:
@@ -338,18 +441,32 @@ def similar_documents(
     * Empty table: empty result. Other columns are ignored, whatever their names.
 
     Shingles are compared by hash: two of the same pair of documents are taken for
-    one with a probability below 2^-45. Equal digests of different sets are detected and raise.
+    one with a probability below 2^-45. Sets whose first 64-bit digest is that of another
+    set go by their second one; the list of such digests is taken to the driver (about 70
+    are expected among 5e10 sets). Very long texts: whole, one text's shingles must fit in a task.
     """
     nodes = stored(shingle_nodes(docs, id_col, text_col, size))
+    digests = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    clashing = [r["node"] for r in digests.where("low < high").select("node").collect()]
+    if clashing:
+        nodes = nodes.withColumn("node", F.when(F.col("node").isin(clashing), F.col("check")).otherwise(F.col("node")))
     filled = nodes.where("n_shingles > 0")
-    classes = filled.groupBy("node").agg(
-        F.min("check").alias("low"), F.max("check").alias("high"), F.first("n_shingles").alias("n")
+    classes = filled.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"))
+    total = filled.agg(F.sum("n_shingles")).first()[0] or 0
+
+    names = frozenset(clashing)
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
+    bits = _bucket_bits(_head(int(total), percent)[0])
+    shared = _shared_in_heads(_pack_heads(texts.select("text"), size, bits, percent, names), bits)
+    spare = F.lit(min(SPARE, percent))
+    open_rows = stored(
+        classes.join(shared, "node").where(F.lit(100) * F.col("shared") >= spare * F.col("n")).select("row.doc_id", "row.text_key", "n")
+    )
+    left = texts.join(
+        open_rows, texts["doc_id"].eqNullSafe(open_rows["doc_id"]) & (text_key(texts["text"]) == open_rows["text_key"]), "left_semi"
     )
-    total, clash = classes.agg(F.sum("n"), F.max(F.col("low") != F.col("high"))).first()
-    if clash:
-        raise RuntimeError("two different shingle sets share a digest")
-    bits = max(0, int(total or 0) // BUCKET_SHINGLES).bit_length()
-    packed = _pack(docs, text_col, size, bits)
+    bits = _bucket_bits(int(open_rows.agg(F.sum("n")).first()[0] or 0))
+    packed = _pack(left.select("text"), size, bits, names)
     suspects = stored(_suspects(_shared_shingles(packed, bits, parallelism(docs)), percent))
     labels = _components(suspects, percent)
     placed = filled.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
