@@ -462,8 +462,9 @@ def similar_documents(
     open_rows = stored(
         classes.join(shared, "node").where(F.lit(100) * F.col("shared") >= spare * F.col("n")).select("row.doc_id", "row.text_key", "n")
     )
+    # The list is a share of all rows, so it is dealt out with the texts at every size.
     left = texts.join(
-        open_rows, texts["doc_id"].eqNullSafe(open_rows["doc_id"]) & (text_key(texts["text"]) == open_rows["text_key"]), "left_semi"
+        open_rows.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(open_rows["doc_id"]) & (text_key(texts["text"]) == open_rows["text_key"]), "left_semi"
     )
     bits = _bucket_bits(int(open_rows.agg(F.sum("n")).first()[0] or 0))
     packed = _pack(left.select("text"), size, bits, names)
