@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from trajlens.models import MeanProfile, PcaWindow
 from trajlens.operators import compare, lineage, windows
 from trajlens.plans import PrepareConfig, evaluate, fit_and_threshold, prepare, profile
+from trajlens.queries import QUERIES
 from trajlens.roles import Roles
 from trajlens.sources import TableSet, read_table
 from trajlens.sources.metric_files import read_metrics
@@ -96,6 +97,16 @@ def test_inventory_and_hashes(spark, tmp_path):
     assert hashes["A.PNG"] == hashlib.sha256(b"abc").hexdigest()
 
 
+def test_tables_of_part_files_count_once(spark, tmp_path):
+    """Part files of two tables with one name and size are no pair, and a table of several files is one table."""
+    for name in ("a.parquet", "b.parquet"):
+        (tmp_path / name).mkdir()
+        for part in ("part-0.parquet", "part-1.parquet"):
+            (tmp_path / name / part).write_bytes(b"same")
+    (tmp_path / "c.parquet").write_bytes(b"other")
+    assert rows(QUERIES["file_sizes_and_kinds"](spark, str(tmp_path))) == [(".parquet", 3)]
+
+
 def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
     """Files above the limit, one of them sparse and above 2 GB, give the same digests as ``hashlib``."""
     data = {"a.bin": b"12345" * 1000, "b 1.bin": b"ab"}
