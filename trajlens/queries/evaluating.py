@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from trajlens.models import MeanProfile
 from trajlens.operators import metrics
 from trajlens.plans import evaluate, fit_and_threshold, prepare, PrepareConfig
@@ -13,6 +11,7 @@ from trajlens.queries.bindings import (
     ROLES,
     SCORES,
     classes,
+    nearest,
     part_scores,
     repairs,
     rounded,
@@ -104,7 +103,8 @@ def ranking_metrics_by_model(spark, sf):
           UNION ALL SELECT DISTINCT model, NULL, 1.0, 0.0 FROM k""",
 )
 def pr_curve(spark, sf):
-    return rounded(metrics.pr_curve(scores(spark, sf), "outlier_score", by=["model"]))
+    curve = metrics.pr_curve(scores(spark, sf), "outlier_score", by=["model"])
+    return curve.select("model", "threshold", nearest("precision", 6).alias("precision"), nearest("recall", 6).alias("recall"))
 
 
 @query(
@@ -116,7 +116,7 @@ def pr_curve(spark, sf):
 )
 def roc_curve(spark, sf):
     curve = metrics.roc_curve(scores(spark, sf), "outlier_score", by=["model"])
-    return curve.select("model", "threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    return curve.select("model", "threshold", nearest("fpr", 6).alias("fpr"), nearest("tpr", 6).alias("tpr"))
 
 
 @query(
@@ -129,7 +129,7 @@ def roc_curve(spark, sf):
 )
 def roc_curve_reduced(spark, sf):
     curve = metrics.roc_curve(part_scores(spark, sf), "outlier_score", drop_collinear=True)
-    return curve.select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    return curve.select("threshold", nearest("fpr", 6).alias("fpr"), nearest("tpr", 6).alias("tpr"))
 
 
 # --- steps -----------------------------------------------------------------

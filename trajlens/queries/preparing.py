@@ -22,6 +22,7 @@ from trajlens.queries.bindings import (
     classes,
     day,
     fitted,
+    nearest,
     readouts,
     repairs,
     rounded,
@@ -116,7 +117,7 @@ def _checksum():
 def _digest(df):
     return df.select(
         "window_id", "entity_id", "start_idx", "start_time_step", "end_time_step",
-        (F.round(_checksum(), 4) + F.lit(0.0)).alias("checksum"), "y_true",
+        (nearest(_checksum(), 4) + F.lit(0.0)).alias("checksum"), "y_true",
     )
 
 

@@ -13,6 +13,7 @@ from trajlens.queries.bindings import (
     PART_SCORES,
     SCORES,
     fitted,
+    nearest,
     part_scores,
     readouts,
     repairs,
@@ -51,7 +52,7 @@ def reconstruction_loss(spark, sf):
     parameters = fitted(spark, sf)
     model = MeanProfile.fit(split_windows(spark, sf, train_rows(spark, sf), parameters))
     value = loss(split_windows(spark, sf, readouts(spark, sf), parameters), model)
-    return spark.range(1).select(F.round(F.lit(value), 6).alias("loss"))
+    return spark.range(1).select(nearest(F.lit(value), 6).alias("loss"))
 
 
 def _model_scores(spark, sf, fit):
