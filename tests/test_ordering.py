@@ -79,6 +79,16 @@ def test_inputs_are_evaluated_once(spark, limit):
         assert evaluations(spark, make) == 1
 
 
+@pytest.mark.parametrize("limit", [50, 10**6])
+def test_correlation_evaluates_its_input_once(spark, limit):
+    """Also where a column misses values, which are filled by the median of the others."""
+    from trajlens.operators import profile
+
+    for hole in ("false", "s > 0.5"):
+        holed = f"IF({hole}, NULL, s) AS s"
+        assert evaluations(spark, lambda df: profile.correlation(df.selectExpr("e", holed), ["e", "s"], limit)) == 1
+
+
 @pytest.mark.parametrize("slice_rows", [50, 400, 5000])
 def test_positions(skewed, slice_rows):
     order = ["t", "f", "y"]

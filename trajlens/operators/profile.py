@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlens.functions.expressions import even_bin, is_finite, safe_numeric
-from trajlens.operators.ordering import MAX_GROUP_ROWS, beside, local_table
+from trajlens.operators.ordering import MAX_GROUP_ROWS, beside, local_table, once
 from trajlens.operators.quantiles import exact_percentiles
 
 # Bins, whisker length in interquartile ranges.
@@ -97,12 +97,14 @@ def correlation(
 
     Features need at least three finite values that differ; with fewer than two
     such features there is no row. One pass over assembled vectors gives the whole
-    matrix, whose size depends on the number of columns alone.
+    matrix, whose size depends on the number of columns alone. What is not stored yet, as a join, is
+    computed once, and medians only for features that miss a value.
     """
     names = list(columns)
     finite = {c: F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double")) for c in names}
-    clean = df.select(*[finite[c].alias(c) for c in names])
+    clean = once(df.select(*[finite[c].alias(c) for c in names]))
     ranges = clean.agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.count(c).alias(f"n_{i}") for i, c in enumerate(names)],
         *[(F.min(c) < F.max(c)).alias(f"varies_{i}") for i, c in enumerate(names)],
     ).first()
@@ -110,11 +112,14 @@ def correlation(
     schema = "feature_a string, feature_b string, correlation double"
     if len(usable) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    rows = exact_percentiles(
-        _cells(clean, usable, ()), ["feature"], "value", {"median": 0.5}, max_group_rows=max_group_rows, store=False
-    ).collect()
-    fills = {r["feature"]: r["median"] for r in rows}
-    vector = array_to_vector(F.array(*[safe_numeric(c, fills[c]) for c in usable])).alias("features")
+    holed = [c for i, c in enumerate(names) if c in usable and ranges[f"n_{i}"] < ranges["n"]]
+    fills = {}
+    if holed:
+        medians = exact_percentiles(
+            _cells(clean, holed, ()), ["feature"], "value", {"median": 0.5}, max_group_rows=max_group_rows, store=False
+        )
+        fills = {r["feature"]: r["median"] for r in medians.collect()}
+    vector = array_to_vector(F.array(*[safe_numeric(c, fills.get(c)) for c in usable])).alias("features")
     matrix = Correlation.corr(clean.select(vector), "features").first()[0].toArray()
     pairs = [
         (a, b, 1.0 if a == b else float(matrix[i, j])) for i, a in enumerate(usable) for j, b in enumerate(usable)
