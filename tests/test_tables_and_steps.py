@@ -170,6 +170,21 @@ def test_window_facts_come_from_the_write(spark, tmp_path, monkeypatch):
         assert lineage.validate_preparation(again, manifest, "full", "w", {}) == written
 
 
+def test_no_task_writes_a_share_that_grows(spark, tmp_path):
+    """Shares above Spark's advisory size are split, so that two wanted files become several; rows and facts stay."""
+    rows_ = spark.range(0, 20_000, 1, 8).selectExpr("CAST(id % 70 AS INT) AS e", "id AS t", "sin(id) AS f")
+    built = windows.build_windows(rows_, ["f"], "e", "t", size=30, stride=2)
+    plain = windows.store_windows(built.repartition(16), str(tmp_path / "plain"), "e")
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "64KB")
+    try:
+        stored = windows.store_windows(built.repartition(16), str(tmp_path / "w"), "e", files=2)
+    finally:
+        spark.conf.unset(name)
+    assert sum(p.endswith(".parquet") for p in os.listdir(tmp_path / "w")) > 2
+    assert (stored.n_windows, stored.n_entities, stored.content_hash) == (plain.n_windows, 70, plain.content_hash)
+
+
 def test_repeated_appends_change_nothing(spark, tmp_path):
     first = spark.createDataFrame([("r1", "a", 1.0), ("r1", "b", 2.0)], "run_name string, model string, f1 double")
     other = spark.createDataFrame([("r2", "a", 3.0)], first.schema)

@@ -225,12 +225,14 @@ def store_windows(
     """Overwrite a Parquet window table; its facts are gathered by the write itself, and nothing is read back.
 
     With ``files``, rows are hashed by entity and window start, so that one huge
-    entity does not end up in one file. Without it the partitions of the window
-    step are written as they are. Feature names go to a manifest next to it.
+    entity does not end up in one file. A share that outgrows Spark's advisory partition size is
+    written by several tasks, as more files, so no task's share grows with the table; tiny shares go
+    together. Without ``files`` the partitions of the window step are written as they are. Feature names go to a manifest next to it.
     Entities are counted by their first windows, which start at position 0.
     """
     if files is not None:
-        windows = windows.repartition(files, entity, F.floor(F.col("start_idx") / FILE_CHUNK_ROWS))
+        placed = windows.withColumn("_stretch", F.floor(F.col("start_idx") / FILE_CHUNK_ROWS))
+        windows = placed.hint("rebalance", files, entity, "_stretch").drop("_stretch")
     seen = Observation()
     zero = F.lit(0)
     observed = windows.observe(
