@@ -210,6 +210,20 @@ def test_fingerprint_follows_content_and_settings(spark):
     assert lineage.settings_digest({"b": 1, "a": 2}) == lineage.settings_digest({"a": 2, "b": 1})
 
 
+def test_no_row_holds_a_large_file(spark, tmp_path):
+    """Files of a mounted folder are streamed from 64 MB on; Spark may not read contents above that here."""
+    size, name = (64 << 20) + 5, "spark.sql.sources.binaryFile.maxLength"
+    with open(tmp_path / "sparse.bin", "wb") as out:
+        out.truncate(size)
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    spark.conf.set(name, str(64 << 20))
+    try:
+        found = {r["size_bytes"]: r["sha256"] for r in lineage.file_hashes(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert found == {size: hashlib.sha256(bytes(size)).hexdigest(), 3: hashlib.sha256(b"abc").hexdigest()}
+
+
 def test_preparation_is_checked(spark, tmp_path):
     df, settings = spark.range(5), {"max_entities": 25}
     manifest = str(tmp_path / "manifest")
