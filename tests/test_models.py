@@ -227,3 +227,15 @@ def test_ragged_windows_are_refused(windows, spark):
     model = MeanProfile(np.zeros((6, 2)))
     with pytest.raises(Exception, match="unequal shape"):
         scoring.score_windows(ragged.coalesce(1), model, "vehicle_id").collect()
+
+
+def test_directions_come_from_whole_windows(spark, monkeypatch):
+    """Scatter matrices are added up in the tasks; no window is cut into rows for MLlib. Directions as by a dense solver."""
+    monkeypatch.setattr("pyspark.ml.feature.PCA.fit", lambda *a: pytest.fail("rows of steps were made"))
+    x = np.random.default_rng(3).standard_normal((200, 6, 2)) * [1.0, 3.0]
+    windows = spark.createDataFrame([(w.tolist(),) for w in x], "X array<array<double>>").repartition(5)
+    for model, rows_of, k in ((PcaLocal.fit(windows, k=2), reconstruct.neighbourhoods, 2), (PcaWindow.fit(windows, k=3), reconstruct.whole_windows, 3)):
+        cells = rows_of(x)
+        mine = model.directions @ model.directions.T
+        found = np.linalg.svd(cells - cells.mean(axis=0), full_matrices=False)[2][:k].T
+        assert np.allclose(mine, found @ found.T, atol=1e-9) and np.allclose(model.mean, cells.mean(axis=0))

@@ -15,7 +15,6 @@ from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -145,6 +144,20 @@ def principal_directions(
     return found
 
 
+def dense_directions(
+    windows: DataFrame, rows_of: Callable[[np.ndarray], np.ndarray], mean: np.ndarray, k: int
+) -> np.ndarray:
+    """The ``k`` main directions ``[cells, k]``, from the scatter matrix that one pass over the windows adds up in the tasks."""
+    cells = len(mean)
+
+    def scatter(x: np.ndarray) -> np.ndarray:
+        rows = rows_of(x) - mean
+        return (rows.T @ rows).ravel()
+
+    _, found = np.linalg.eigh(_summed(windows, scatter, cells * cells).reshape(cells, cells))
+    return found[:, ::-1][:, : min(k, cells)]
+
+
 @dataclass(frozen=True)
 class MeanProfile:
     """Rebuilds every window by the training mean of each (position, feature)."""
@@ -182,9 +195,7 @@ class PcaWindow:
         _, _, mean = _describe(windows)
         if len(mean) > DENSE_CELLS:
             return cls(mean, principal_directions(windows, whole_windows, mean, k))
-        vectors = windows.select(array_to_vector(F.flatten("X")).alias("v"))
-        found = PCA(k=min(k, len(mean)), inputCol="v", outputCol="p").fit(vectors)
-        return cls(mean, found.pc.toArray())
+        return cls(mean, dense_directions(windows, whole_windows, mean, k))
 
     def reconstruct(self, batch: np.ndarray) -> np.ndarray:
         centred = batch.reshape(len(batch), -1) - self.mean
@@ -214,17 +225,7 @@ class PcaLocal:
         mean = neighbourhoods(whole.reshape(1, size, width)).mean(axis=0)
         if 3 * width > DENSE_CELLS:
             return cls(mean, principal_directions(windows, neighbourhoods, mean, k))
-        cell = windows.schema["X"].dataType.elementType.elementType
-        zeros = F.array(*[F.lit(0.0).cast(cell)] * width)
-        around = F.transform(
-            F.sequence(F.lit(0), F.size("X") - 1),
-            lambda i: F.concat(
-                F.coalesce(F.get("X", i - 1), zeros), F.get("X", i), F.coalesce(F.get("X", i + 1), zeros)
-            ),
-        )
-        steps = windows.select(F.explode(around).alias("around")).select(array_to_vector("around").alias("v"))
-        found = PCA(k=min(k, 3 * width), inputCol="v", outputCol="p").fit(steps)
-        return cls(mean, found.pc.toArray())
+        return cls(mean, dense_directions(windows, neighbourhoods, mean, k))
 
     def reconstruct(self, batch: np.ndarray) -> np.ndarray:
         width = batch.shape[2]
