@@ -213,3 +213,20 @@ def test_roll_up_and_metrics_do_not_depend_on_the_limit(skewed):
         thresholds.percentile(scored, "outlier_score", 95),
         thresholds.percentile(scored, "outlier_score", 95, max_group_rows=50),
     )
+
+
+def test_medians_of_long_columns_shuffle_no_cells(spark, monkeypatch):
+    """The fit's medians of long columns come from passes over whole rows; ties, holes, infinities and few values included."""
+    from trajlens.operators import preprocess, quantiles
+
+    monkeypatch.setattr(quantiles, "DIRECT_ROWS", 20)
+    monkeypatch.setattr(quantiles, "PROBES", 10)
+    columns = ["a", "b", "c", "d"]
+    df = spark.range(4001).selectExpr(
+        "sin(id) AS a", "CAST(id % 3 AS DOUBLE) AS b", "IF(id % 4 = 0, NULL, IF(id % 7 = 0, double('NaN'), id * 1.5)) AS c",
+        "IF(id % 5 < 2, double('-Infinity'), cos(id)) AS d",
+    )
+    expected = preprocess.medians(df, columns, max_group_rows=None)
+    monkeypatch.setattr(preprocess, "exact_percentiles", lambda *a, **k: pytest.fail("cells were exploded"))
+    found = preprocess.fit(df, columns, max_group_rows=100)
+    assert {f.feature: f.imputation_value for f in found.features} == {c: v or 0.0 for c, v in expected.items()}

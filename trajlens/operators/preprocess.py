@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from trajlens.functions.expressions import safe_numeric
 from trajlens.operators.ordering import MAX_GROUP_ROWS, local_table
-from trajlens.operators.quality import missing_report, numeric_moments
-from trajlens.operators.quantiles import exact_percentiles
+from trajlens.operators.quality import WIDE_COLUMNS, missing_report, numeric_moments
+from trajlens.operators.quantiles import column_ranks, exact_percentiles
 from trajlens.roles import Roles
 
 # Defaults of the preparation.
@@ -145,8 +145,14 @@ def _fill_values(df, columns, strategy, relative_error, moments, max_group_rows)
     if strategy == "median":
         if moments is not None and max_group_rows is not None:
             # The first pass counted the values, so they need not be counted again.
-            largest = max(r["n_values"] for r in moments)
-            max_group_rows = max_group_rows if largest > max_group_rows else None
+            known = {r["column"]: r["n_values"] for r in moments}
+            large = max(known.values()) > max_group_rows
+            if large and relative_error <= 0 and len(columns) < WIDE_COLUMNS:
+                # the median element, as in ``medians``
+                ranks = {c: (safe_numeric(c), known[c], max(-(-known[c] // 2) - 1, 0)) for c in columns}
+                found = column_ranks(df, ranks)
+                return {c: float(found.get(c) or 0.0) for c in columns}
+            max_group_rows = max_group_rows if large else None
         found = medians(df, columns, relative_error, max_group_rows)
     elif strategy in ("mean", "average"):
         rows = moments if moments is not None else numeric_moments(df, columns).collect()

@@ -81,6 +81,67 @@ def exact_percentiles(
     return direct(rows_outside(values, groups, by)).unionByName(narrowed)
 
 
+def column_ranks(df: DataFrame, wanted: Mapping[str, tuple[Column, int, int]]) -> dict[str, float]:
+    """The value of one 0-based rank per column: ``name: (numbers or null, how many there are, rank)``.
+
+    Narrowed as in ``exact_percentiles``, with all columns side by side in each pass: no cell is exploded, joined or
+    shuffled, and the brackets of the few columns are literals.
+    """
+    value = {name: number for name, (number, _, _) in wanted.items()}
+    state = {name: (None, None, 0, n, rank) for name, (_, n, rank) in wanted.items() if 0 <= rank < n}
+    found: dict[str, float] = {}
+
+    def inside(name: str) -> Column:
+        low, high, *_ = state[name]
+        number = value[name]
+        if low is not None:
+            number = F.when(value[name] > F.lit(low), number)
+        return number if high is None else F.when(value[name] < F.lit(high), number)
+
+    fractions = [i / PROBES for i in range(PROBES + 1)]
+    while state:
+        few = [name for name, (_, _, _, n, _) in state.items() if n <= DIRECT_ROWS]
+        looks = []
+        for name, (_, _, below, n, rank) in state.items():
+            if name in few:
+                looks.append(F.array(F.get(sorted_values(inside(name)), F.lit(rank - below))))
+            else:
+                looks.append(F.percentile_approx(inside(name), fractions, 4 * PROBES))
+        probes = dict(zip(state, df.agg(*[look.alias(f"_{i}") for i, look in enumerate(looks)]).first()))
+        for name in few:
+            found[name] = probes[name][0]
+            del state[name]
+        if not state:
+            break
+        ends, counts = {}, []
+        for name, (_, _, below, n, rank) in state.items():
+            place = (rank - below) / max(n - 1, 1) * PROBES
+            a, b = probes[name][max(int(place) - 1, 0)], probes[name][min(int(-(-place // 1)) + 1, PROBES)]
+            ends[name], number = (a, b), inside(name)
+            counts.append(
+                F.array(
+                    F.count_if(number < F.lit(a)), F.count_if(number == F.lit(a)),
+                    F.count_if((number > F.lit(a)) & (number < F.lit(b))),
+                    F.count_if((number == F.lit(b)) & (F.lit(a) < F.lit(b))), F.count_if(number > F.lit(b)),
+                )
+            )
+        counted = dict(zip(state, df.agg(*[c.alias(f"_{i}") for i, c in enumerate(counts)]).first()))
+        for name, (low, high, below, _, rank) in list(state.items()):
+            a, b = ends[name]
+            for size, bounds, hit in zip(counted[name], ((low, a), None, (a, b), None, (b, high)), (None, a, None, b, None)):
+                if rank < below + size:
+                    if bounds is None:
+                        found[name] = hit
+                        del state[name]
+                    else:
+                        state[name] = (*bounds, below, size, rank)
+                    break
+                below += size
+            else:
+                raise RuntimeError(f"the values of {name} changed between two passes")
+    return found
+
+
 def _wanted(groups: DataFrame, by: Sequence[str], fractions: Mapping[str, float], discrete: bool) -> DataFrame:
     """``(by…, _n, _name, _left, _right, _weight)``: the two 0-based ranks of each percentile and the weight of the right one."""
     n = F.col("_group_rows")
