@@ -89,6 +89,56 @@ def test_correlation_evaluates_its_input_once(spark, limit):
         assert evaluations(spark, lambda df: profile.correlation(df.selectExpr("e", holed), ["e", "s"], limit)) == 1
 
 
+@pytest.mark.parametrize("direct,probes", [(4, 4), (30, 8), (50_000, 500)])
+def test_ranks_of_several_columns(spark, monkeypatch, direct, probes):
+    monkeypatch.setattr(quantiles, "DIRECT_ROWS", direct)
+    monkeypatch.setattr(quantiles, "PROBES", probes)
+    df = spark.range(2000).selectExpr("pmod(xxhash64(id), 100000) / 8 - 4000 AS a", "IF(id % 3 = 0, NULL, id % 7 - 3.0D) AS b").checkpoint()
+    ranks = [0, 1, 499, 500, 998, 999, 1000, 1332, 1333, 1999, 2000, -1]
+    found = quantiles.column_ranks(df, {c: (F.col(c), df.where(f"{c} IS NOT NULL").count(), ranks) for c in df.columns})
+    for c in df.columns:
+        ordered = sorted(r[0] for r in rows(df.where(f"{c} IS NOT NULL").select(c)))
+        assert found[c] == {r: ordered[r] for r in ranks if 0 <= r < len(ordered)}
+
+
+def test_reports_of_whole_columns_store_no_cells(spark, monkeypatch):
+    """Their passes read the rows of a plain table as they are; ranks are narrowed, and looked up once for all reports."""
+    from trajlens.operators import profile
+
+    def refuse(df):
+        raise AssertionError(f"stored {df.columns}")
+
+    asked, ranks = [], profile.column_ranks
+    monkeypatch.setattr(profile, "column_ranks", lambda df, wanted: asked.append(wanted) or ranks(df, wanted))
+    monkeypatch.setattr(quantiles, "DIRECT_ROWS", 20)
+    monkeypatch.setattr(quantiles, "PROBES", 8)
+    df = spark.range(3000).selectExpr(
+        "pmod(xxhash64(id), 1000) / 8.0D AS a", "IF(id % 5 = 0, NULL, pow(pmod(xxhash64(id, 1), 50), 2)) AS b",
+        "IF(id % 5 = 0, double('NaN'), id % 11) AS c", "CAST(NULL AS double) AS d", "named_struct('x', id % 4) AS s",
+    ).checkpoint()
+    for module in (ordering, quantiles):
+        monkeypatch.setattr(module, "settled", refuse)
+    names = ["a", "b", "c", "d", "s.x"]
+    known = profile.Columns(df, names)
+    boxes = {r["feature"]: r for r in profile.boxplot_stats(df, names, known=known).collect()}
+    bins, pairs = profile.histogram(df, names, known=known).collect(), profile.correlation(df, names, known=known).collect()
+    assert set(boxes) == {r["feature"] for r in bins} == {r["feature_a"] for r in pairs} == {"a", "b", "c", "s.x"}
+    filled = {}
+    for name, box in boxes.items():
+        cells = np.array([np.nan if r[0] is None else r[0] for r in df.select(name).collect()], dtype=float)
+        values = cells[np.isfinite(cells)]
+        q1, median, q3 = np.percentile(values, [25, 50, 75])
+        inside = values[(values >= q1 - 1.5 * (q3 - q1)) & (values <= q3 + 1.5 * (q3 - q1))]
+        assert tuple(box)[1:] == pytest.approx((q1, median, q3, min(inside.min(), q1), max(inside.max(), q3), values.size))
+        counts, edges = np.histogram(values, 30)
+        own = sorted((r for r in bins if r["feature"] == name), key=lambda r: r["bin"])
+        assert [r["low"] for r in own] == pytest.approx(edges[:-1]) and [r["count"] for r in own] == list(counts)
+        filled[name] = np.where(np.isfinite(cells), cells, median)
+    for r in pairs:
+        assert r["correlation"] == pytest.approx(np.corrcoef(filled[r["feature_a"]], filled[r["feature_b"]])[0, 1], abs=1e-9)
+    assert not any(ranks for wanted in asked[1:] for _, _, ranks in wanted.values())
+
+
 @pytest.mark.parametrize("slice_rows", [50, 400, 5000])
 def test_positions(skewed, slice_rows):
     order = ["t", "f", "y"]

@@ -149,9 +149,9 @@ def _fill_values(df, columns, strategy, relative_error, moments, max_group_rows)
             large = max(known.values()) > max_group_rows
             if large and relative_error <= 0 and len(columns) < WIDE_COLUMNS:
                 # the median element, as in ``medians``
-                ranks = {c: (safe_numeric(c), known[c], max(-(-known[c] // 2) - 1, 0)) for c in columns}
-                found = column_ranks(df, ranks)
-                return {c: float(found.get(c) or 0.0) for c in columns}
+                middle = {c: max(-(-known[c] // 2) - 1, 0) for c in columns}
+                found = column_ranks(df, {c: (safe_numeric(c), known[c], [middle[c]]) for c in columns})
+                return {c: float(found[c].get(middle[c]) or 0.0) for c in columns}
             max_group_rows = max_group_rows if large else None
         found = medians(df, columns, relative_error, max_group_rows)
     elif strategy in ("mean", "average"):

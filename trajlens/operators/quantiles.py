@@ -11,7 +11,7 @@ so the result does not depend on its error.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,64 +81,62 @@ def exact_percentiles(
     return direct(rows_outside(values, groups, by)).unionByName(narrowed)
 
 
-def column_ranks(df: DataFrame, wanted: Mapping[str, tuple[Column, int, int]]) -> dict[str, float]:
-    """The value of one 0-based rank per column: ``name: (numbers or null, how many there are, rank)``.
+def column_ranks(
+    df: DataFrame, wanted: Mapping[str, tuple[Column, int, Collection[int]]]
+) -> dict[str, dict[int, float]]:
+    """The values at 0-based ranks per column: ``name: (numbers or null, how many there are, ranks)``.
 
     Narrowed as in ``exact_percentiles``, with all columns side by side in each pass: no cell is exploded, joined or
-    shuffled, and the brackets of the few columns are literals.
+    shuffled, and the brackets of the few columns are literals. Ranks in one bracket are looked up together.
     """
     value = {name: number for name, (number, _, _) in wanted.items()}
-    state = {name: (None, None, 0, n, rank) for name, (_, n, rank) in wanted.items() if 0 <= rank < n}
-    found: dict[str, float] = {}
-
-    def inside(name: str) -> Column:
-        low, high, *_ = state[name]
-        number = value[name]
-        if low is not None:
-            number = F.when(value[name] > F.lit(low), number)
-        return number if high is None else F.when(value[name] < F.lit(high), number)
-
+    found: dict[str, dict[int, float]] = {name: {} for name in wanted}
+    # (column, low, high, how many lie below the bracket, how many inside): ranks inside
+    state = {(name, None, None, 0, n): [r for r in ranks if 0 <= r < n] for name, (_, n, ranks) in wanted.items()}
+    state = {bracket: ranks for bracket, ranks in state.items() if ranks}
     fractions = [i / PROBES for i in range(PROBES + 1)]
     while state:
-        few = [name for name, (_, _, _, n, _) in state.items() if n <= DIRECT_ROWS]
         looks = []
-        for name, (_, _, below, n, rank) in state.items():
-            if name in few:
-                looks.append(F.array(F.get(sorted_values(inside(name)), F.lit(rank - below))))
+        for (name, low, high, below, n), ranks in state.items():
+            inside = value[name] if low is None else F.when(value[name] > F.lit(low), value[name])
+            inside = inside if high is None else F.when(value[name] < F.lit(high), inside)
+            if n <= DIRECT_ROWS:
+                looks.append(F.array(*[F.get(sorted_values(inside), F.lit(rank - below)) for rank in ranks]))
             else:
-                looks.append(F.percentile_approx(inside(name), fractions, 4 * PROBES))
-        probes = dict(zip(state, df.agg(*[look.alias(f"_{i}") for i, look in enumerate(looks)]).first()))
-        for name in few:
-            found[name] = probes[name][0]
-            del state[name]
-        if not state:
+                looks.append(F.percentile_approx(inside, fractions, 4 * PROBES))
+        stretches: dict[tuple, list[int]] = {}
+        for (bracket, ranks), seen in zip(state.items(), df.agg(*[x.alias(f"_{i}") for i, x in enumerate(looks)]).first()):
+            name, _, _, below, n = bracket
+            if n <= DIRECT_ROWS:
+                found[name].update(zip(ranks, seen))
+                continue
+            for rank in ranks:
+                place = (rank - below) / max(n - 1, 1) * PROBES
+                ends = {seen[max(int(place) - 1, 0)], seen[min(int(-(-place // 1)) + 1, PROBES)]}
+                stretches.setdefault((bracket, tuple(sorted(ends))), []).append(rank)
+        if not stretches:
             break
-        ends, counts = {}, []
-        for name, (_, _, below, n, rank) in state.items():
-            place = (rank - below) / max(n - 1, 1) * PROBES
-            a, b = probes[name][max(int(place) - 1, 0)], probes[name][min(int(-(-place // 1)) + 1, PROBES)]
-            ends[name], number = (a, b), inside(name)
-            counts.append(
-                F.array(
-                    F.count_if(number < F.lit(a)), F.count_if(number == F.lit(a)),
-                    F.count_if((number > F.lit(a)) & (number < F.lit(b))),
-                    F.count_if((number == F.lit(b)) & (F.lit(a) < F.lit(b))), F.count_if(number > F.lit(b)),
-                )
-            )
-        counted = dict(zip(state, df.agg(*[c.alias(f"_{i}") for i, c in enumerate(counts)]).first()))
-        for name, (low, high, below, _, rank) in list(state.items()):
-            a, b = ends[name]
-            for size, bounds, hit in zip(counted[name], ((low, a), None, (a, b), None, (b, high)), (None, a, None, b, None)):
-                if rank < below + size:
-                    if bounds is None:
-                        found[name] = hit
-                        del state[name]
-                    else:
-                        state[name] = (*bounds, below, size, rank)
-                    break
-                below += size
-            else:
+        points = list(dict.fromkeys((bracket[0], x) for bracket, ends in stretches for x in ends))
+        counts = [
+            F.array(F.count_if(value[name] < F.lit(x)), F.count_if(value[name] <= F.lit(x))).alias(f"_{i}")
+            for i, (name, x) in enumerate(points)
+        ]
+        counted, state = dict(zip(points, df.agg(*counts).first())), {}
+        for ((name, low, high, below, n), ends), ranks in stretches.items():
+            parts, start = [], below
+            for x in ends:
+                before, upto = counted[name, x]
+                parts += [((low, x, start, before - start), before, None), (None, upto, x)]
+                low, start = x, upto
+            parts.append(((low, high, start, below + n - start), below + n, None))
+            if [part[1] for part in parts] != sorted([below, *[part[1] for part in parts]])[1:]:
                 raise RuntimeError(f"the values of {name} changed between two passes")
+            for rank in ranks:
+                bounds, _, hit = next(part for part in parts if rank < part[1])
+                if bounds is None:
+                    found[name][rank] = hit
+                else:
+                    state.setdefault((name, *bounds), []).append(rank)
     return found
 
 

@@ -95,9 +95,10 @@ def profile(
     if feature_table is not None:
         df = tables[feature_table]
         features = preprocess.numeric_columns(df, roles.non_features, limit=max_features)
-        reports["histograms"] = profiles.histogram(df, features)
-        reports["boxplots"] = profiles.boxplot_stats(df, features)
-        reports["correlation"] = profiles.correlation(df, features)
+        known = profiles.Columns(df, features)
+        reports["histograms"] = profiles.histogram(df, features, known=known)
+        reports["boxplots"] = profiles.boxplot_stats(df, features, known=known)
+        reports["correlation"] = profiles.correlation(df, features, known=known)
         lengths = temporal.length_per_entity(df, roles.entity)
         reports["records_per_entity"] = profiles.histogram(lengths, ["n_records"])
     return reports
