@@ -139,6 +139,19 @@ def test_reports_of_whole_columns_store_no_cells(spark, monkeypatch):
     assert not any(ranks for wanted in asked[1:] for _, _, ranks in wanted.values())
 
 
+def test_reports_of_gaps_and_lengths_store_their_value_alone(spark, monkeypatch, skewed):
+    stored, settled = [], ordering.settled
+    monkeypatch.setattr(ordering, "settled", lambda df: stored.append(df.columns) or settled(df))
+    monkeypatch.setattr(quantiles, "DIRECT_ROWS", 20)
+    limits = [
+        (temporal.gap_report(skewed, "entity", "t", exact=True, max_group_rows=n), temporal.length_report(skewed, "entity", exact=True, max_group_rows=m))
+        for n, m in ((None, None), (2500, 5))
+    ]
+    assert {tuple(c) for c in stored} == {("gap",), ("n_records",)}
+    for plain, narrowed in zip(*limits):
+        assert plain.schema.simpleString() == narrowed.schema.simpleString() and rows(plain) == rows(narrowed)
+
+
 @pytest.mark.parametrize("slice_rows", [50, 400, 5000])
 def test_positions(skewed, slice_rows):
     order = ["t", "f", "y"]

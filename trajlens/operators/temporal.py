@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -17,7 +18,7 @@ from trajlens.operators.ordering import (
     once,
     rows_outside,
 )
-from trajlens.operators.quantiles import exact_percentiles
+from trajlens.operators.quantiles import column_ranks, exact_percentiles
 
 # Positions of one chunk of a large trajectory.
 CHUNK_ROWS = 100_000
@@ -91,11 +92,18 @@ def length_per_entity(df: DataFrame, entity: str, limit: int | None = None) -> D
 
 
 def length_report(
-    df: DataFrame, entity: str, exact: bool = False, max_group_rows: int | None = MAX_GROUP_ROWS
+    df: DataFrame,
+    entity: str,
+    exact: bool = False,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
-    """``(n_entities, mean_records, median_records, p05_records, p95_records, min_records, max_records)``."""
+    """``(n_entities, mean_records, median_records, p05_records, p95_records, min_records, max_records)``.
+
+    ``lengths`` is what ``length_per_entity`` gives, where the caller has it already.
+    """
     return _summary(
-        length_per_entity(df, entity),
+        length_per_entity(df, entity) if lengths is None else lengths,
         "n_records",
         {"median_records": 0.5, "p05_records": 0.05, "p95_records": 0.95},
         [
@@ -160,12 +168,13 @@ def _summary(df, value, fractions, aggregates, exact, max_group_rows) -> DataFra
     if not exact:
         sketch = [F.percentile_approx(value, f).cast("double").alias(name) for name, f in fractions.items()]
         return df.agg(*aggregates, *sketch)
-    df = once(df)  # for the facts and the ranks
-    facts = df.agg(*aggregates, F.count(value).alias("_n"))
+    df = once(df.select(value))  # for the facts and the ranks
+    number = F.nullif(F.col(value).cast("double"), F.lit(float("nan")))
+    facts = df.agg(*aggregates, F.count(number).alias("_n"))
     row = facts.first()
-    small = max_group_rows is None or row["_n"] <= max_group_rows
-    values = df.select(value)
-    ranks = exact_percentiles(
-        values, [], value, fractions, discrete=True, max_group_rows=None if small else max_group_rows, store=False
-    )
-    return beside(ranks, local_table(df.sparkSession, [tuple(row)], facts.schema).drop("_n"), [])
+    found = local_table(df.sparkSession, [tuple(row)], facts.schema).drop("_n")
+    if max_group_rows is None or row["_n"] <= max_group_rows:
+        return beside(exact_percentiles(df, [], value, fractions, discrete=True, max_group_rows=None), found, [])
+    places = {name: max(math.ceil(row["_n"] * f) - 1, 0) for name, f in fractions.items()}
+    ranks = column_ranks(df, {value: (number, row["_n"], set(places.values()))})[value]
+    return found.select("*", *[F.lit(ranks[place]).alias(name) for name, place in places.items()])

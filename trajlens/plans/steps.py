@@ -75,12 +75,15 @@ def profile(
         reports["shape"] = tagged({n: quality.shape(df) for n, df in light.items()})
         reports["missing"] = tagged({n: quality.missing_report(df) for n, df in light.items()})
     series = {n: df for n, df in light.items() if roles.entity in df.columns and roles.time in df.columns}
+    lengths = {}  # of the feature table, stored for two reports
+    if feature_table is not None:
+        lengths[feature_table] = once(temporal.length_per_entity(tables[feature_table], roles.entity))
     if series:
         reports["gaps"] = tagged(
             {n: temporal.gap_report(df, roles.entity, roles.time, exact=exact) for n, df in series.items()}
         )
         reports["lengths"] = tagged(
-            {n: temporal.length_report(df, roles.entity, exact=exact) for n, df in series.items()}
+            {n: temporal.length_report(df, roles.entity, exact=exact, lengths=lengths.get(n)) for n, df in series.items()}
         )
     label_tables = dict(label_tables or {})
     if label_tables:
@@ -99,8 +102,7 @@ def profile(
         reports["histograms"] = profiles.histogram(df, features, known=known)
         reports["boxplots"] = profiles.boxplot_stats(df, features, known=known)
         reports["correlation"] = profiles.correlation(df, features, known=known)
-        lengths = temporal.length_per_entity(df, roles.entity)
-        reports["records_per_entity"] = profiles.histogram(lengths, ["n_records"])
+        reports["records_per_entity"] = profiles.histogram(lengths[feature_table], ["n_records"])
     return reports
 
 
