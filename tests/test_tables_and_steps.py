@@ -107,6 +107,32 @@ def test_tables_of_part_files_count_once(spark, tmp_path):
     assert rows(QUERIES["file_sizes_and_kinds"](spark, str(tmp_path))) == [(".parquet", 3)]
 
 
+def test_tables_count_by_the_digests_of_their_files(spark, tmp_path, monkeypatch):
+    """Contents are read, as rows and streamed, and a table with a file without a digest of its own bytes is left out."""
+    (tmp_path / "a.parquet").mkdir()
+    for path in ("a.parquet/part-0.parquet", "a.parquet/part-1.parquet", "b.parquet", "c.csv"):
+        (tmp_path / path).write_bytes(path.encode())
+    found, name = QUERIES["file_sizes_and_kinds"], "spark.sql.sources.binaryFile.maxLength"
+    whole = [(".csv", 1), (".parquet", 2)]
+    assert rows(found(spark, str(tmp_path)), "suffix") == whole
+    spark.conf.set(name, "4")
+    try:
+        with pytest.raises(Exception, match="FAILED_READ_FILE"):
+            found(spark, str(tmp_path)).collect()
+        with monkeypatch.context() as patch:
+            patch.setattr(lineage, "MAX_FILE_BYTES", 3)
+            assert rows(found(spark, str(tmp_path)), "suffix") == whole
+    finally:
+        spark.conf.unset(name)
+    hashes, last = lineage.file_hashes, F.col("path").endswith("part-1.parquet")
+    for digest in (F.lit(None).cast("string"), F.lit("0" * 63), F.lit(hashlib.sha256(b"").hexdigest())):
+        monkeypatch.setattr(lineage, "file_hashes", lambda *of: hashes(*of).withColumn("sha256", F.when(last, digest).otherwise(F.col("sha256"))))
+        assert rows(found(spark, str(tmp_path)), "suffix") == [(".csv", 1), (".parquet", 1)]
+    for changed in (lambda h: h.where(~last), lambda h: h.union(h.where(last))):
+        monkeypatch.setattr(lineage, "file_hashes", lambda *of: changed(hashes(*of)))
+        assert rows(found(spark, str(tmp_path)), "suffix") == [(".csv", 1), (".parquet", 1)]
+
+
 def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
     """Files above the limit, one of them sparse and above 2 GB, give the same digests as ``hashlib``."""
     data = {"a.bin": b"12345" * 1000, "b 1.bin": b"ab"}
